@@ -151,6 +151,6 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
             break
         n = len(h) - 2 * width + 1
         out = out[:n] * power + out[width : width + n]
-        power = power * power
+        power = np.uint64(int(power) ** 2 & (1 << 64) - 1)
         width *= 2
     return mix(have.copy() if have is h else have)

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineagram.llm import sentencepiece
+from lineagram.llm import quality, sentencepiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_quality_rules": quality.op6_quality_rules,
         "op9_sentencepiece": sentencepiece.op9_sentencepiece,
     }
 
