@@ -67,8 +67,8 @@ class Rules:
     common: float = 0.002
     min_lang: float = 0.001
     max_char: float = 0.25
-    max_word: float = 0.30
-    slack: float = 1.8
+    max_word: float = 0.20
+    slack: float = 2.0
 
 
 @dataclass
