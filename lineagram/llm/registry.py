@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineagram.llm import quality, sentencepiece
+from lineagram.llm import quality, sentencepiece, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_quality_rules": quality.op6_quality_rules,
+        "op10_simhash": simhash.op10_simhash,
         "op9_sentencepiece": sentencepiece.op9_sentencepiece,
     }
 
