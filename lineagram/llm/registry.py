@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineagram.llm import quality, sentencepiece, simhash
+from lineagram.llm import mixing, quality, sentencepiece, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_quality_rules": quality.op6_quality_rules,
         "op10_simhash": simhash.op10_simhash,
+        "op7_mixing": mixing.op7_mixing,
         "op9_sentencepiece": sentencepiece.op9_sentencepiece,
     }
 
