@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineagram.llm import mixing, quality, sentencepiece, simhash
+from lineagram.llm import html, langid, mixing, quality, sentencepiece, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_html": html.op4_html,
         "op6_quality_rules": quality.op6_quality_rules,
         "op10_simhash": simhash.op10_simhash,
         "op7_mixing": mixing.op7_mixing,
+        "op8_langid": langid.op8_langid,
         "op9_sentencepiece": sentencepiece.op9_sentencepiece,
     }
 
