@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineagram.llm import anchors, html, langid, mixing, quality, sentencepiece, simhash
+from lineagram.llm import anchors, html, langid, lm, mixing, quality, sentencepiece, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_anchors": anchors.op2_anchors,
+        "op3_lm": lm.op3_lm,
         "op4_html": html.op4_html,
         "op6_quality_rules": quality.op6_quality_rules,
         "op10_simhash": simhash.op10_simhash,
