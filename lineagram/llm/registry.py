@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineagram.llm import anchors, html, langid, lm, mixing, quality, sentencepiece, simhash
+from lineagram.llm import anchors, html, langid, lm, mixing, quality, sentencepiece, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_anchors": anchors.op2_anchors,
         "op3_lm": lm.op3_lm,
         "op4_html": html.op4_html,
+        "op5_suffix": suffix.op5_suffix,
         "op6_quality_rules": quality.op6_quality_rules,
         "op10_simhash": simhash.op10_simhash,
         "op7_mixing": mixing.op7_mixing,
