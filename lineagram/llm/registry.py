@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineagram.llm import anchors, html, langid, lm, mixing, quality, sentencepiece, simhash, suffix
+from lineagram.llm import ann, anchors, html, langid, lm, mixing, quality, sentencepiece, simhash, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": ann.op1_ann,
         "op2_anchors": anchors.op2_anchors,
         "op3_lm": lm.op3_lm,
         "op4_html": html.op4_html,
