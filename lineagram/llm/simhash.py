@@ -18,6 +18,16 @@ smallest label with shortcuts, each round written to the shared folder.
 Null text has no words: fingerprint zero, linked like any other.  A null doc_id
 never is a component's name unless all its members' are null.  Repeated rows get
 one row each.  An empty table gives an empty result.
+
+near_dedup() is for a wider notion: five-word shingles with a Jaccard similarity
+of at least 0.8.  That needs a radius at which counts of parts no longer tell tiles
+apart, so nodes are dealt into tiles by their number of shingles (similar sets
+have similar sizes, so tiles of other size classes are never met), tiles within
+reach are compared by exclusive-or in sub-tiles sorted by population count, which
+are skipped if these differ beyond the radius, and pairs within the radius are
+judged in place by the ``SKETCH`` smallest hashes of their shingle sets: exactly for
+texts of up to so many shingles, else with a standard error of 0.035 at 0.8.  Its
+comparisons grow with the square of a size class.
 """
 
 from __future__ import annotations
@@ -37,6 +47,8 @@ from lineagram.llm.common import buffers, pieces, utf8, written
 PARTS = 4
 TILE = 32_768
 SEED = 42
+#: Of near_dedup: words of a shingle, similarity, radius, nodes of a tile, hashes of a sketch, ratio of size classes.
+WIDTH, SIMILAR, RADIUS, SIDE, SKETCH, RATIO = 5, 0.8, 14, 16_384, 128, 1.25
 _RAW = "__utf8"
 
 
@@ -186,6 +198,122 @@ def classes(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     return marked.join(by_fp, "fp")
 
 
+def _sketches(docs: DataFrame) -> DataFrame:
+    """(id, digest, fp, size, sketch): of every row the digest of its words, the fingerprint, and the shingle set's size and smallest hashes."""
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), utf8("text").alias(_RAW))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, bits, sizes, sketches = [], [], [], []
+            for raw in b.column(1):
+                words = b" ".join(raw.as_py().lower().split())
+                three, five = np.array(fingerprint_of(words), np.uint64), np.unique(np.array(fingerprint_of(words, WIDTH), np.uint64))
+                digests.append(xxhash.xxh3_128_digest(words))
+                bits.append(majority(three, np.array([len(three)]))[0])
+                sizes.append(len(five))
+                # by the upper bits, so that equal low halves never hide a difference of order
+                sketches.append((five[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(digests, pa.binary()), pa.array(np.array(bits, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], ["id", "digest", "fp", "size", "sketch"]
+            )
+
+    return src.mapInArrow(run, "id long, digest binary, fp long, size int, sketch binary")
+
+
+def _similar(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarities by the smallest hashes of each union."""
+    out = np.ones(len(a))
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if len(x) or len(y):
+            both = np.union1d(x, y)[:SKETCH] if max(len(x), len(y)) >= SKETCH else np.union1d(x, y)
+            out[i] = np.isin(both, x, assume_unique=True).__and__(np.isin(both, y, assume_unique=True)).mean()
+    return out
+
+
+def _linked(fp: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: list[np.ndarray], side: int = 2048) -> np.ndarray:
+    """Smallest index that each node reaches by links between left and right; both hold indices."""
+    label = np.arange(len(fp))
+    counts = np.bitwise_count(fp).astype(int)
+    left, right = left[np.argsort(counts[left], kind="stable")], right[np.argsort(counts[right], kind="stable")]
+    for lo in range(0, len(left), side):
+        mine = left[lo : lo + side]
+        for at in range(0, len(right), side):
+            other = right[at : at + side]
+            if counts[mine[0]] - counts[other[-1]] > RADIUS or counts[other[0]] - counts[mine[-1]] > RADIUS:
+                continue
+            i, j = np.nonzero(np.bitwise_count(fp[mine, None] ^ fp[None, other]) <= RADIUS)
+            i, j = mine[i], other[j]
+            while len(i):
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                _, now = np.unique(j, return_index=True)  # one pair of each node at a time; most others are then settled
+                if not len(now):
+                    break
+                a, b = i[now], j[now]
+                good = _similar([sketch[k] for k in a], [sketch[k] for k in b]) >= SIMILAR
+                for u, v in zip(label[a[good]], label[b[good]], strict=True):
+                    while label[u] != u:
+                        u = label[u]
+                    while label[v] != v:
+                        v = label[v]
+                    label[max(u, v)] = min(u, v)
+                while (label[label] != label).any():
+                    label = label[label]
+                rest = np.ones(len(i), bool)
+                rest[now] = False
+                i, j = i[rest], j[rest]
+    return label
+
+
+def near_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest, tile by tile, of the links among nodes (node, fp, size, sketch)."""
+    klass = F.when(F.col("size") < 1, F.lit(-9)).otherwise(F.floor(F.log(RATIO, F.col("size")) + F.lit(1e-9))).cast("int")
+    sized = nodes.withColumn("klass", klass)
+    # a row for each size class there is: under a hundred
+    count = {r[0]: -(-r[1] // SIDE) for r in sized.groupBy("klass").count().collect()}
+    if not count:
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
+    blocks = F.create_map(*[F.lit(v) for k in count.items() for v in k])
+    n = lambda k: F.coalesce(F.try_element_at(blocks, k), F.lit(0))
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("node"), n(F.col("klass"))).cast("int"))
+    pair = lambda c, i, d, j, left: F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"), F.lit(left).alias("left"))
+    numbers = lambda upto: F.when(upto > 0, F.sequence(F.lit(0), (upto - 1).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    c, b = F.col("klass"), F.col("block")
+    meets = F.concat(
+        F.transform(F.filter(numbers(n(c)), lambda j: j >= b), lambda j: pair(c, b, c, j, True)),
+        F.transform(F.filter(numbers(n(c)), lambda j: j < b), lambda j: pair(c, j, c, b, False)),
+        F.transform(numbers(n(c + 1)), lambda j: pair(c, b, c + 1, j, True)),
+        F.transform(numbers(n(c - 1)), lambda j: pair(c - 1, j, c, b, False)),
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        node = table["node"].to_numpy()
+        order = np.argsort(node, kind="stable")
+        node, fp = node[order], table["fp"].to_numpy()[order].view(np.uint64)
+        is_left = table["left"].to_numpy(zero_copy_only=False)[order]
+        sketch = [np.frombuffer(s, "<u4") for s in table["sketch"].take(pa.array(order)).to_pylist()]
+        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        root = _linked(fp, left, right if len(right) else left, sketch)
+        found = root != np.arange(len(root))
+        return pa.table({"a": node[found], "b": node[root[found]]})
+
+    met = sized.select("node", "fp", "sketch", F.explode(meets).alias("m")).select("node", "fp", "sketch", "m.*")
+    return met.groupBy("c", "i", "d", "j").applyInArrow(compare, "a long, b long")
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """The documents without those that link, over others if need be, to one with a smaller doc_id; all columns stay.
+
+    Rows of one doc_id count once.  A null doc_id counts as the largest."""
+    marked = written(_sketches(docs))
+    nodes = written(marked.groupBy("digest").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    found = components(near_links(nodes.select("node", "fp", "size", "sketch")))
+    later = found.where("label < node").select("node")
+    keep = nodes.join(later, "node", "left_anti").select(F.col("node").alias("__keep"))
+    own = docs.withColumn("__keep", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    return own.join(keep, "__keep", "left_semi").dropDuplicates(["__keep"]).drop("__keep")
+
+
 def dedup(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """The documents without those that share a component with a smaller doc_id; all columns stay, repeated rows of one doc_id count once."""
     first = classes(docs, width, radius).where("doc_id <=> component_id").select("doc_id").distinct()

@@ -73,3 +73,35 @@ def test_empty_and_null_ids(spark):
     assert s.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = s.classes(spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d")], "doc_id long, text string")).collect()
     assert [r.component_id for r in got] == [5, 5, 5]
+
+
+def test_near_dedup_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = ["w%d" % i for i in range(500)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 130)))) for _ in range(60)]
+    for i in range(60):
+        t = texts[i].split()
+        for _ in range(int(rng.integers(1, 4))):
+            t[int(rng.integers(len(t)))] = "edit"
+        texts.append(" ".join(t))
+    texts += ["", None, " ", "a b", "A\nb", texts[3]]
+
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            union = sets[i] | sets[j]
+            if not union or len(sets[i] & sets[j]) / len(union) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t, size="clash", node=1) for i, t in enumerate(texts)])
+    for side in (16384, 9):
+        monkeypatch.setattr(s, "SIDE", side)
+        got = s.near_dedup(docs)
+        assert got.columns == docs.columns
+        assert sorted(r.doc_id for r in got.collect()) == sorted(set(root))
+    assert s.near_dedup(docs.limit(0)).count() == 0
