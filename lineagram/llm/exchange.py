@@ -27,7 +27,7 @@ ASK = "__part int, __chunk int, body binary"
 ANSWER = "__chunk int, __part int, body binary"
 
 
-def chunk_count(docs: DataFrame, per_partition: int = 2) -> int:
+def chunk_count(docs: DataFrame, per_partition: int = 1) -> int:
     return per_partition * partitions(docs.sparkSession)
 
 
