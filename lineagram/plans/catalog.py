@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineagram.bridge import PROV_SQL, prov_events
 from lineagram.functions import scalars as fn
-from lineagram.operators import graph, hsg, noise, state, windows
+from lineagram.operators import graph, hsg, noise, paths, state, windows
 from lineagram.operators.rules import DEMO_RULES, MATCH_SQL, matches, rule_table
 from lineagram.sources import logs
 
@@ -438,6 +438,22 @@ def rolling_rates(spark, sf_dir):
     return windows.rates(prov_events(spark, sf_dir))
 
 
+# ---- paths (no SQL: the search depends on order; tests compare with brute force)
+
+
+@query()
+def path_factor(spark, sf_dir):
+    events = prov_events(spark, sf_dir)
+    written = events.where("op = 'write'").select("host", F.col("subject").alias("x"), F.col("object").alias("y")).distinct()
+    return paths.path_factors(events, written)
+
+
+@query()
+def shortest_hops(spark, sf_dir):
+    events = prov_events(spark, sf_dir)
+    return paths.distances(events, events.where("op = 'connect'").select("host", F.col("object").alias("entity")).distinct())
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writers to temporary folders, by the bytes they wrote."""
     return tmp_writers(spark, sf_dir).orderBy(F.desc("bytes"), "host", "subject").limit(3)
