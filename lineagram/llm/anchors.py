@@ -203,4 +203,17 @@ def op2_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document without the runs of 35 that are found again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     got = remove(docs.select("doc_id", "text"))
-    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The same by counting every run of 35 words.
+OP2_SQL = r"""
+  with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents)
+  , runs as (select doc_id, s, array_to_string(w[s:s + 34], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 33)) as s from d where len(w) >= 35))
+  , again as (select doc_id, s from (select doc_id, s, count(*) over (partition by g) as n from runs) where n > 1)
+  , gone as (select distinct doc_id, s + o as i from again, range(35) t(o))
+  , words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d)
+  , kept as (select doc_id, string_agg(word, ' ' order by i) as t, count(*) as n from words anti join gone using (doc_id, i) group by 1)
+  select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+  from d left join kept using (doc_id)
+"""
