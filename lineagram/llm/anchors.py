@@ -131,7 +131,7 @@ def _runs(parts: int):
 
 def repeats(docs: DataFrame, columns: list[str], added: list[T.StructField], use, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """use(columns, bytes, word numbers per document, mask of repeated words) gives the added columns."""
-    block, parts = (window + 1) // 2, x.chunk_count(docs)
+    block, parts = (window + 1) // 2, x.part_count(docs)
     dealt = x.chunked(docs, columns, text_col)
 
     def probe(chunk: int, table: pa.Table) -> list[tuple[int, bytes]]:

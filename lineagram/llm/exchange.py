@@ -27,8 +27,13 @@ ASK = "__part int, __chunk int, body binary"
 ANSWER = "__chunk int, __part int, body binary"
 
 
-def chunk_count(docs: DataFrame, per_partition: int = 1) -> int:
-    return per_partition * partitions(docs.sparkSession)
+def chunk_count(docs: DataFrame) -> int:
+    """Two chunks a shuffle partition, which halves what a Python worker holds at once."""
+    return 2 * partitions(docs.sparkSession)
+
+
+def part_count(docs: DataFrame) -> int:
+    return partitions(docs.sparkSession)
 
 
 def chunked(docs: DataFrame, columns: list[str], text_col: str = "text", chunks: int | None = None, key: F.Column | None = None) -> DataFrame:
