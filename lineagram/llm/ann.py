@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from lineagram.llm.common import partitions, written
 
-DEGREE, ROUNDS, SETTLED = 20, 8, 0.01
+DEGREE, ROUNDS, SETTLED = 20, 6, 0.02
 SPLITS, BLOCK, SAMPLE = 4, 128, 512
-BEAM, WIDTH, HOPS = 96, 24, 40
+BEAM, WIDTH, HOPS = 256, 96, 40
 HALF = np.float16
 
 
@@ -52,7 +52,8 @@ def _halves(column: pa.Array) -> np.ndarray:
 
 def nodes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", show: int = 6) -> DataFrame:
     """(node, key, ids, vec, unit): the distinct vectors; unit is scaled to length one, in half precision."""
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    kind = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"  # as given; sums are in double
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
     ok = F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists("vec", lambda c: c != 0)
     src = src.where(F.coalesce(ok, F.lit(False)) & F.col("id").isNotNull())
     size = src.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -73,11 +74,11 @@ def nodes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
             scaled = vec[rows] / np.abs(vec[rows]).max(1, keepdims=True)
             unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(best), pa.binary()), pa.array([sorted(v)[:show] for v in best.values()], pa.list_(pa.int64())), pa.array(list(vec[rows]), pa.list_(pa.float64())), pa.array([u.astype(HALF).tobytes() for u in unit], pa.binary())],
+                [pa.array(list(best), pa.binary()), pa.array([sorted(v)[:show] for v in best.values()], pa.list_(pa.int64())), b.column("vec").take(pa.array(rows)), pa.array([u.astype(HALF).tobytes() for u in unit], pa.binary())],
                 ["key", "ids", "vec", "unit"],
             )
 
-    got = src.mapInArrow(run, "key binary, ids array<long>, vec array<double>, unit binary")
+    got = src.mapInArrow(run, f"key binary, ids array<long>, vec array<{kind}>, unit binary")
     whole = got.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, show).alias("ids"), F.first("vec").alias("vec"), F.first("unit").alias("unit"))
     return whole.select(F.col("ids")[0].alias("node"), "key", "ids", "vec", "unit")
 
