@@ -4,15 +4,16 @@ Documents are dealt into shards by ranges of doc_id.  A shard keeps the stretche
 of its text that can occur elsewhere: every ``window`` bytes have an anchor, the
 smallest hash among the ``GRAM``-byte pieces in them, equal bytes have equal
 anchors, and shards ask each other which anchors are in other documents too (see
-exchange.py).  Over these stretches the shard builds a suffix array by
-Larsson-Sadakane refinement: suffixes are ordered by their first 8 bytes, then
+exchange.py).  Over these stretches, ``STRETCH`` bytes at a time so that memory is
+bounded, suffix arrays are built by Larsson-Sadakane refinement: suffixes are ordered by their first 8 bytes, then
 groups that are still equal are split by the ranks 8, 16 and 18 bytes on, until
 ``window`` bytes are ordered.  Common prefixes of neighbours are taken in text
 order as Kasai's: where a suffix and its neighbour are the next ones of a pair
 known to agree, only the new byte is compared.  Neighbours that agree on the
-window form a class, whose smallest document is known.  The shards' sorted runs of
-classes are merged by parts of the anchors' space, and every shard's run is looked
-up by binary search for classes that an earlier shard holds.
+window form a class, whose smallest document is known.  Sorted runs of classes are
+merged, first within a shard and then among shards by parts of the anchors' space,
+and every run is looked up by binary search for classes that an earlier document
+or shard holds.
 
 A byte is removed if it is in a class that has a document with a smaller doc_id;
 classes are judged on the input.  Classes are compared across shards by 46 bits
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,10 @@ WINDOW, GRAM = 50, 24
 _SHIFT, _LOCAL = np.uint64(18), np.uint64(1 << 16)
 _SIX = slice(2, 8)
 _PIECE = 1 << 20
+#: Bytes of text under one suffix array; a longer run of one document's text stands alone.
+STRETCH = 1 << 19
+#: Slices in which a part's runs are merged.
+SLICES = 16
 
 
 def _smallest(g: np.ndarray, width: int) -> np.ndarray:
@@ -190,10 +196,42 @@ def _hash32(data: np.ndarray, window: int) -> np.ndarray:
     return (rolling(_BYTE[data], window) >> np.uint64(32)).astype(np.uint32)
 
 
-def _classes_out(place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (anchor's place, hash) in order."""
-    both = np.unique(place.astype(np.uint64) << np.uint64(32) | h)
-    return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def _stretches(shard: _Shard, run: np.ndarray) -> Iterator[np.ndarray]:
+    """The runs given, in lots of about STRETCH bytes."""
+    lo, upto = 0, np.cumsum(shard.sizes[run])
+    while lo < len(run):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + STRETCH, "right")))
+        yield run[lo:hi]
+        lo = hi
+
+
+def _keys_at(shard: _Shard, some: np.ndarray) -> np.ndarray:
+    """Anchor's place and window's hash, of every window of some runs in text order."""
+    at = _expand(shard.heads[some], shard.sizes[some])
+    return np.repeat(shard.place[some], shard.sizes[some]).astype(np.uint64) << np.uint64(32) | _hash_at(shard, at)
+
+
+def _classes(shard: _Shard, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key of each class, its smallest document, class of every window in text order) by a suffix array of some runs' text."""
+    window, heads, sizes = shard.window, shard.heads[some], shard.sizes[some]
+    opens = np.concatenate([[True], heads[1:] != heads[:-1] + sizes[:-1]])
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(heads)) - 1
+    seg_at, seg_size = heads[first], heads[last] + sizes[last] + window - 1 - heads[first]
+    text = shard.data[_expand(seg_at, seg_size)]
+    shift = np.cumsum(seg_size) - seg_size - seg_at  # from the shard's bytes to the text's
+    starts = _expand(heads + shift[np.cumsum(opens) - 1], sizes)
+    order, cls = suffix_classes(text, starts, window)
+    back = np.zeros(len(text), np.int32)  # from places in the text to windows
+    back[starts] = np.arange(len(starts), dtype=np.int32)
+    begin = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+    window_class = np.empty(len(starts), np.int32)
+    window_class[back[order]] = cls
+    ranks = np.repeat(shard.rank[shard.doc[some]], sizes)
+    lowest = np.minimum.reduceat(ranks[back[order]], begin)
+    head = order[begin]
+    place = np.repeat(shard.place[some], sizes)[back[head]].astype(np.uint64)
+    return place << np.uint64(32) | _hash32(text, window)[head], lowest, window_class
 
 
 def _first(part: int, bodies: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
@@ -211,16 +249,28 @@ def _merge(part: int, bodies: list[tuple[int, bytes]]) -> list[tuple[int, bytes]
         if b[:1] == b"C":
             n, m = struct.unpack_from("<qq", b, 1)
             anchors = _values(b[17 : 17 + 6 * n], _SIX) >> _SHIFT
-            sizes = x.from_planes32(b[17 + 6 * n : 17 + 10 * n])
-            runs.append((c, np.repeat(anchors, sizes), x.from_planes32(b[17 + 10 * n :])))
+            starts = np.concatenate([[0], np.cumsum(x.from_planes32(b[17 + 6 * n : 17 + 10 * n]), dtype=np.int64)])
+            runs.append((c, anchors, starts, x.from_planes32(b[17 + 10 * n :]), np.zeros(m, bool)))
     if not runs:
         return own
-    anchors = np.unique(np.concatenate([r[1] for r in runs]))
-    keys = [np.searchsorted(anchors, a).astype(np.uint64) << np.uint64(32) | h for _, a, h in runs]
-    merged, at = np.unique(np.concatenate(keys), return_index=True)
-    ends = np.cumsum([len(k) for k in keys])
-    owner = np.searchsorted(ends, at, "right")
-    return own + [(r[0], b"C" + np.packbits(owner[np.searchsorted(merged, k)] < i).tobytes()) for i, (r, k) in enumerate(zip(runs, keys, strict=True))]
+    # a slice of the anchors at a time: what is merged at once stays small
+    ends = np.sort(np.concatenate([r[1] for r in runs]))[:: max(1, sum(len(r[1]) for r in runs) // SLICES)][1:]
+    for lo, hi in zip([None, *ends], [*ends, None], strict=True):
+        keys, spans = [], []
+        for _, anchors, starts, h, _ in runs:
+            a = 0 if lo is None else int(np.searchsorted(anchors, lo))
+            b = len(anchors) if hi is None else int(np.searchsorted(anchors, hi))
+            keys.append((np.repeat(anchors[a:b], np.diff(starts[a : b + 1])), h[starts[a] : starts[b]]))
+            spans.append((starts[a], starts[b]))
+        distinct = np.unique(np.concatenate([k for k, _ in keys]))
+        if not len(distinct):
+            continue
+        keys = [np.searchsorted(distinct, k).astype(np.uint64) << np.uint64(32) | h for k, h in keys]
+        merged, at = np.unique(np.concatenate(keys), return_index=True)
+        owner = np.searchsorted(np.cumsum([len(k) for k in keys]), at, "right")
+        for i, (k, (a, b), run) in enumerate(zip(keys, spans, runs, strict=True)):
+            run[4][a:b] = owner[np.searchsorted(merged, k)] < i
+    return own + [(c, b"C" + np.packbits(hit).tobytes()) for c, _, _, _, hit in runs]
 
 
 def _ranges(docs: DataFrame, n: int) -> F.Column:
@@ -238,9 +288,9 @@ def remove(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> Dat
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     added = [T.StructField("kept_bytes", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", spans_type)]
     columns = [c for c in docs.columns if c not in {f.name for f in added}]
-    parts = x.chunk_count(docs)
+    parts = x.part_count(docs)
     marked = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    dealt = x.chunked(marked, [*columns, "__id"], text_col, key=_ranges(docs, parts))
+    dealt = x.chunked(marked, [*columns, "__id"], text_col, key=_ranges(docs, x.chunk_count(docs)))
 
     def ask(chunk: int, table: pa.Table) -> list[tuple[int, bytes]]:
         shard = _Shard(table, window)
@@ -258,32 +308,24 @@ def remove(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> Dat
         other = others(shard, bodies)
         run = np.flatnonzero((other | shard.local)[shard.place])
         gone = np.zeros(len(shard.data), bool)
-        out = []
-        if len(run):
-            heads, sizes = shard.heads[run], shard.sizes[run]
-            opens = np.concatenate([[True], heads[1:] != heads[:-1] + sizes[:-1]])
-            first = np.flatnonzero(opens)
-            last = np.append(first[1:], len(heads)) - 1
-            seg_at, seg_size = heads[first], heads[last] + sizes[last] + window - 1 - heads[first]
-            text = shard.data[_expand(seg_at, seg_size)]
-            shift = np.cumsum(seg_size) - seg_size - seg_at  # from the shard's bytes to the stretches'
-            seg = np.cumsum(opens) - 1
-            starts = _expand(heads + shift[seg], sizes)
-            rank = np.zeros(len(text), np.int32)
-            rank[starts] = np.repeat(shard.rank[shard.doc[run]], sizes)
-            order, cls = suffix_classes(text, starts, window)
-            begin = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-            ranks = rank[order]
-            later = np.zeros(len(text), bool)
-            later[order] = ranks > np.minimum.reduceat(ranks, begin)[cls]
-            gone[_expand(heads, sizes)] = later[starts]
-            # one of each class whose anchor is in another shard
-            place = np.zeros(len(text), np.int32)
-            place[starts] = np.repeat(shard.place[run], sizes)
-            head = order[begin]
-            head = head[other[place[head]]]
-            where, h = _classes_out(place[head], _hash32(text, window)[head])
-            out = _packed(shard, where, h, parts)
+        out, parts_of = [], []
+        for some in _stretches(shard, run):
+            keys, lowest, window_class = _classes(shard, some)
+            parts_of.append((some, keys, lowest, window_class))
+        if parts_of:
+            # merge the arrays' classes: the smallest document of each
+            merged, at = np.unique(np.concatenate([k for _, k, _, _ in parts_of]), return_inverse=True)
+            first = np.full(len(merged), 1 << 62)
+            np.minimum.at(first, at, np.concatenate([low for _, _, low, _ in parts_of]))
+            done = 0
+            for some, keys, _, window_class in parts_of:
+                low = first[at[done : done + len(keys)]][window_class]
+                done += len(keys)
+                later = np.repeat(shard.rank[shard.doc[some]], shard.sizes[some]) > low
+                gone[_expand(shard.heads[some], shard.sizes[some])[later]] = True
+            where = (merged >> np.uint64(32)).astype(np.int64)
+            sent = other[where]
+            out = _packed(shard, where[sent], (merged[sent] & np.uint64(0xFFFFFFFF)).astype(np.uint32), parts)
         flags = _bits(gone)
         out.append((chunk % parts, b"L" + struct.pack("<q", len(flags)) + flags + _bits(other)))
         return x.asks(chunk, out)
@@ -295,24 +337,24 @@ def remove(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> Dat
         gone = _unbits(mine[9 : 9 + n], len(shard.data))
         other = _unbits(mine[9 + n :], len(shard.anchors))
         run = np.flatnonzero(other[shard.place])
-        if len(run):
-            at = _expand(shard.heads[run], shard.sizes[run])
-            h, place = _hash_at(shard, at), np.repeat(shard.place[run], shard.sizes[run])
-            where, distinct = _classes_out(place, h)
+        blocks = list(_stretches(shard, run))
+        if blocks:
+            found = [np.unique(_keys_at(shard, some), return_inverse=True) for some in blocks]
+            merged = np.unique(np.concatenate([k for k, _ in found]))
+            where = (merged >> np.uint64(32)).astype(np.int64)
             edges, hit = _edges(shard, where, parts), np.zeros(len(where), bool)
             for p, body in bodies:
                 if body[:1] == b"C":
                     hit[edges[p] : edges[p + 1]] = np.unpackbits(np.frombuffer(body, np.uint8, offset=1), count=edges[p + 1] - edges[p])
-            keys = where.astype(np.uint64) << np.uint64(32) | distinct
-            found = hit[np.searchsorted(keys, place.astype(np.uint64) << np.uint64(32) | h)]
-            gone[at[found]] = True
-        edge = np.zeros(len(shard.data) + 1, np.int32)
-        edge[:-1] += gone
-        edge[window:] -= gone[: len(edge) - window]
-        covered = np.cumsum(edge[:-1]) > 0
+            for some, (keys, at) in zip(blocks, found, strict=True):
+                gone[_expand(shard.heads[some], shard.sizes[some])[hit[np.searchsorted(merged, keys)][at]]] = True
         kept, removed, spans = [], [], []
         for a, b in zip(shard.offsets[:-1], shard.offsets[1:], strict=True):
-            own = covered[a:b]
+            edge = np.zeros(b - a + 1, np.int32)
+            edge[:-1] += gone[a:b]
+            if b - a >= window:
+                edge[window:] -= gone[a : b - window + 1]
+            own = np.cumsum(edge[:-1]) > 0
             n = int(own.sum())
             removed.append(n)
             kept.append((shard.data[a:b][~own] if n else shard.data[a:b]).tobytes())
