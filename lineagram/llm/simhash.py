@@ -37,6 +37,7 @@ from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,13 +200,13 @@ def classes(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(id, digest, fp, size, sketch): of every row the digest of its words, the fingerprint, and the shingle set's size and smallest hashes."""
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), utf8("text").alias(_RAW))
+    """(id, raw, digest, fp, size, sketch): of every row its id and text's digest, the digest of its words, the fingerprint, and the shingle set's size and smallest hashes."""
+    src = _named(docs).select(F.col("__id").alias("id"), F.col("__raw").alias("raw"), utf8("text").alias(_RAW))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests, bits, sizes, sketches = [], [], [], []
-            for raw in b.column(1):
+            for raw in b.column(2):
                 words = b" ".join(raw.as_py().lower().split())
                 three, five = np.array(fingerprint_of(words), np.uint64), np.unique(np.array(fingerprint_of(words, WIDTH), np.uint64))
                 digests.append(xxhash.xxh3_128_digest(words))
@@ -214,10 +215,10 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 # by the upper bits, so that equal low halves never hide a difference of order
                 sketches.append((five[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digests, pa.binary()), pa.array(np.array(bits, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], ["id", "digest", "fp", "size", "sketch"]
+                [b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(np.array(bits, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], ["id", "raw", "digest", "fp", "size", "sketch"]
             )
 
-    return src.mapInArrow(run, "id long, digest binary, fp long, size int, sketch binary")
+    return src.mapInArrow(run, "id long, raw binary, digest binary, fp long, size int, sketch binary")
 
 
 _PAD = np.uint32((1 << 32) - 1)
@@ -303,7 +304,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
     # a row for each size class there is: under a hundred
     count = {r[0]: -(-r[1] // SIDE) for r in sized.groupBy("klass").count().collect()}
     if not count:
-        return nodes.sparkSession.createDataFrame([], "a long, b long")
+        return nodes.sparkSession.createDataFrame([], "a binary, b binary")
     blocks = F.create_map(*[F.lit(v) for k in count.items() for v in k])
     n = lambda k: F.coalesce(F.try_element_at(blocks, k), F.lit(0))
     sized = sized.withColumn("block", F.pmod(F.xxhash64("node"), n(F.col("klass"))).cast("int"))
@@ -318,31 +319,37 @@ def near_links(nodes: DataFrame) -> DataFrame:
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        node = table["node"].to_numpy()
-        order = np.argsort(node, kind="stable")
-        node, fp = node[order], table["fp"].to_numpy()[order].view(np.uint64)
+        order = pc.sort_indices(table["node"]).to_numpy()
+        node, fp = table["node"].take(pa.array(order)), table["fp"].to_numpy()[order].view(np.uint64)
         is_left = table["left"].to_numpy(zero_copy_only=False)[order]
         sketch = _table([np.frombuffer(s, "<u4") for s in table["sketch"].take(pa.array(order)).to_pylist()])
         left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         root = _linked(fp, left, right if len(right) else left, sketch)
         found = root != np.arange(len(root))
-        return pa.table({"a": node[found], "b": node[root[found]]})
+        return pa.table({"a": node.filter(pa.array(found)), "b": node.take(pa.array(root[found]))})
 
     met = sized.select("node", "fp", "sketch", F.explode(meets).alias("m")).select("node", "fp", "sketch", "m.*")
-    return met.groupBy("c", "i", "d", "j").applyInArrow(compare, "a long, b long")
+    return met.groupBy("c", "i", "d", "j").applyInArrow(compare, "a binary, b binary")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Adds ``__id`` (a null doc_id as the largest) and ``__raw`` (a digest of the text as it is), which tell rows apart."""
+    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__raw", F.unhex(F.md5(utf8("text"))))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents without those that link, over others if need be, to one with a smaller doc_id; all columns stay.
 
-    Rows of one doc_id count once.  A null doc_id counts as the largest."""
+    Texts with the same words are one node, whatever their ids; a null doc_id counts as the largest, and equal
+    ids are ordered by the words' digest.  A component keeps one row: of its first node, the smallest doc_id."""
     marked = written(_sketches(docs))
-    nodes = written(marked.groupBy("digest").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    # a node's name is its smallest id, in the order of unsigned bytes, and its words' digest
+    nodes = marked.groupBy("digest").agg(F.min(F.struct("id", "raw")).alias("top"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.select(F.concat(F.unhex(F.lpad(F.hex(F.col("top.id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), "digest").alias("node"), "top", "fp", "size", "sketch"))
     found = components(near_links(nodes.select("node", "fp", "size", "sketch")))
     later = found.where("label < node").select("node")
-    keep = nodes.join(later, "node", "left_anti").select(F.col("node").alias("__keep"))
-    own = docs.withColumn("__keep", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    return own.join(keep, "__keep", "left_semi").dropDuplicates(["__keep"]).drop("__keep")
+    keep = nodes.join(later, "node", "left_anti").select(F.col("top.id").alias("__id"), F.col("top.raw").alias("__raw"))
+    return _named(docs).join(keep, ["__id", "__raw"], "left_semi").dropDuplicates(["__id", "__raw"]).select(*docs.columns)
 
 
 def dedup(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:

@@ -105,3 +105,12 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch):
         assert got.columns == docs.columns
         assert sorted(r.doc_id for r in got.collect()) == sorted(set(root))
     assert s.near_dedup(docs.limit(0)).count() == 0
+
+
+def test_near_dedup_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["w%d" % i for i in range(500)], 40)) for _ in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0]), (None, texts[4] + " tail"), (9, texts[4]), (9, texts[5]), (9, texts[6]), (9, texts[6]), (7, texts[6].upper()), (3, texts[7]), (None, texts[7])]
+    got = s.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, t) for t in texts[:4]] + [(9, texts[4]), (9, texts[5]), (7, texts[6].upper()), (3, texts[7])]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
