@@ -25,9 +25,9 @@ apart, so nodes are dealt into tiles by their number of shingles (similar sets
 have similar sizes, so tiles of other size classes are never met), tiles within
 reach are compared by exclusive-or in sub-tiles sorted by population count, which
 are skipped if these differ beyond the radius, and pairs within the radius are
-judged in place by the ``SKETCH`` smallest hashes of their shingle sets: exactly for
-texts of up to so many shingles, else with a standard error of 0.035 at 0.8.  Its
-comparisons grow with the square of a size class.
+turned away if the ``SKETCH`` smallest hashes of their shingle sets are far from 0.8.
+What is left only says which nodes are compared: within its components all pairs are
+judged by whole shingle sets.  Comparisons grow with the square of a size class.
 """
 
 from __future__ import annotations
@@ -50,6 +50,8 @@ TILE = 32_768
 SEED = 42
 #: Of near_dedup: words of a shingle, similarity, radius, nodes of a tile, hashes of a sketch, ratio of size classes.
 WIDTH, SIMILAR, RADIUS, SIDE, SKETCH, RATIO = 5, 0.8, 12, 16_384, 128, 1.25
+#: Shingles that are judged at once.
+LOT = 1 << 20
 _RAW = "__utf8"
 
 
@@ -252,13 +254,13 @@ def _shares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _similar(table: np.ndarray, a: np.ndarray, b: np.ndarray, lot: int = 4096) -> np.ndarray:
-    """Which pairs reach SIMILAR.  The smallest quarter of the sketches first turns away pairs that are far from it (four standard errors)."""
+    """Which pairs may reach SIMILAR.  Sketches turn away pairs that are far from it (six standard errors; the smallest quarter first, four); judged() has the verdict."""
     good = np.zeros(len(a), bool)
     few = SKETCH // 4
     for lo in range(0, len(a), lot):
         i, j = a[lo : lo + lot], b[lo : lo + lot]
         open_ = np.flatnonzero(_shares(table[i, :few], table[j, :few]) >= SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / few) ** 0.5)
-        good[lo + open_] = _shares(table[i[open_]], table[j[open_]]) >= SIMILAR
+        good[lo + open_] = _shares(table[i[open_]], table[j[open_]]) >= SIMILAR - 6 * (SIMILAR * (1 - SIMILAR) / SKETCH) ** 0.5
     return good
 
 
@@ -337,6 +339,65 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__raw", F.unhex(F.md5(utf8("text"))))
 
 
+def _forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """(reached, from): a spanning forest of the pairs of sets that are as similar as SIMILAR (0.8: nine times the common ones are four times both sizes).
+
+    Breadth-first: each set is compared once, whole, with those that no other has reached yet."""
+    sizes = np.array([len(x) for x in sets])
+    terms, at = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(at, np.cumsum(sizes)[:-1])
+    mark, left, rest = np.zeros(len(terms), bool), np.arange(len(sets)), at
+    reached, source, queue = [], [], []
+    while len(left):
+        now = queue.pop() if queue else -1
+        gone = np.zeros(len(left), bool)
+        if now < 0:
+            gone[0] = True
+            queue.append(int(left[0]))
+        else:
+            mark[own[now]] = True
+            ends = np.cumsum(sizes[left])
+            common = np.diff(np.concatenate([[0], np.cumsum(mark[rest])])[np.concatenate([[0], ends])])
+            mark[own[now]] = False
+            gone = 9 * common >= 4 * (sizes[left] + sizes[now])
+            found = left[gone].tolist()
+            reached += found
+            source += [now] * len(found)
+            queue += found
+        if gone.any():
+            rest, left = rest[np.repeat(~gone, sizes[left])], left[~gone]
+    return reached, source
+
+
+def judged(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): links among members (node, label, size, top), found by whole shingle sets within each label.
+
+    Labels of up to LOT shingles are dealt into lots; larger ones are cut into blocks that meet two by two."""
+    weight = F.sum(F.col("size") + 1)
+    large = members.groupBy("label").agg(F.ceil(weight / F.lit(LOT)).cast("int").alias("blocks")).where("blocks > 1")
+    lots = max(1, -(-(members.agg(weight.alias("n")).first().n or 0) // LOT))
+    dealt = members.select("node", "label", "top").join(large, "label", "left")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("label").alias("of"), F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
+    lot = F.array(F.struct(F.lit(None).cast("binary").alias("of"), F.pmod(F.xxhash64("label"), F.lit(lots)).cast("int").alias("i"), F.lit(-1).alias("j")))
+    dealt = dealt.select("node", "label", F.col("top.id").alias("__id"), F.col("top.raw").alias("__raw"), F.when(F.col("blocks").isNull(), lot).otherwise(meets).alias("meets"))
+    texts = _named(docs.select("doc_id", "text")).join(dealt, ["__id", "__raw"]).select("node", "label", "meets", utf8("text").alias(_RAW)).dropDuplicates(["node"])
+
+    def judge(table: pa.Table) -> pa.Table:
+        order = pc.sort_indices(table["label"])
+        node, label = table["node"].take(order), table["label"].take(order).to_pylist()
+        raws = table[_RAW].take(order)
+        cuts = [0, *[i for i in range(1, len(label)) if label[i] != label[i - 1]], len(label)]
+        a, b = [], []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            reached, source = _forest([np.unique(np.array(fingerprint_of(r.as_py(), WIDTH), np.uint64)) for r in raws.slice(lo, hi - lo)])
+            a += [lo + i for i in reached]
+            b += [lo + i for i in source]
+        return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
+
+    return texts.select("node", "label", _RAW, F.explode("meets").alias("m")).select("node", "label", _RAW, "m.*").groupBy("of", "i", "j").applyInArrow(judge, "a binary, b binary")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents without those that link, over others if need be, to one with a smaller doc_id; all columns stay.
 
@@ -346,7 +407,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     # a node's name is its smallest id, in the order of unsigned bytes, and its words' digest
     nodes = marked.groupBy("digest").agg(F.min(F.struct("id", "raw")).alias("top"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.select(F.concat(F.unhex(F.lpad(F.hex(F.col("top.id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), "digest").alias("node"), "top", "fp", "size", "sketch"))
-    found = components(near_links(nodes.select("node", "fp", "size", "sketch")))
+    maybe = components(near_links(nodes.select("node", "fp", "size", "sketch")))
+    found = components(judged(docs, written(nodes.select("node", "top", "size").join(maybe, "node"))))
     later = found.where("label < node").select("node")
     keep = nodes.join(later, "node", "left_anti").select(F.col("top.id").alias("__id"), F.col("top.raw").alias("__raw"))
     return _named(docs).join(keep, ["__id", "__raw"], "left_semi").dropDuplicates(["__id", "__raw"]).select(*docs.columns)

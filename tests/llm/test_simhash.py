@@ -114,3 +114,41 @@ def test_near_dedup_null_and_repeated_ids(spark):
     got = s.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = [(None, t) for t in texts[:4]] + [(9, texts[4]), (9, texts[5]), (7, texts[6].upper()), (3, texts[7])]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def components_at(sets, similar=0.8):
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if not union or len(sets[i] & sets[j]) / union >= similar:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def near_line(rng):
+    """Texts of 150 to 2000 words, and others with similarities of 0.75 to 0.86 to them, by tails and by changed words."""
+    words = np.array(["w%d" % i for i in range(3000)])
+    texts = []
+    for k in range(60):
+        t = rng.choice(words, int(rng.integers(150, 2000)))
+        texts.append(t)
+        share = rng.uniform(0.75, 0.86)
+        if k % 2:
+            texts.append(np.concatenate([t, rng.choice(words, int(len(t) / share) - len(t))]))
+        else:
+            u = t.copy()
+            u[rng.choice(len(u), max(1, int(len(u) * (1 - share) / (1 + share) / 5)), replace=False)] = "edit"
+            texts.append(u)
+    return [" ".join(t) for t in texts]
+
+
+def test_forest_is_exact():
+    texts = near_line(np.random.default_rng(12))
+    hashes = [np.unique(np.array(s.fingerprint_of(t.encode(), 5), np.uint64)) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in zip(*s._forest(hashes)):
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    assert root == components_at([set(h.tolist()) for h in hashes])
