@@ -20,14 +20,13 @@ never is a component's name unless all its members' are null.  Repeated rows get
 one row each.  An empty table gives an empty result.
 
 near_dedup() is for a wider notion: five-word shingles with a Jaccard similarity
-of at least 0.8.  That needs a radius at which counts of parts no longer tell tiles
-apart, so nodes are dealt into tiles by their number of shingles (similar sets
-have similar sizes, so tiles of other size classes are never met), tiles within
-reach are compared by exclusive-or in sub-tiles sorted by population count, which
-are skipped if these differ beyond the radius, and pairs within the radius are
-turned away if the ``SKETCH`` smallest hashes of their shingle sets are far from 0.8.
-What is left only says which nodes are compared: within its components all pairs are
-judged by whole shingle sets.  Comparisons grow with the square of a size class.
+of at least 0.8, which no radius of fingerprints takes in whole.  Nodes are dealt into
+tiles by their number of shingles (similar sets have similar sizes, so tiles of other
+size classes are never met), and tiles within reach compare parity maps of the shingle
+sets, which never differ in more bits than the sets do in shingles.  The pairs that the
+maps can't rule out say which nodes belong together; within these components all pairs
+are judged by whole shingle sets, so links are exact but for equal 64-bit hashes of
+shingles.  Comparisons grow with the square of a size class.
 """
 
 from __future__ import annotations
@@ -48,8 +47,8 @@ from lineagram.llm.common import buffers, pieces, utf8, written
 PARTS = 4
 TILE = 32_768
 SEED = 42
-#: Of near_dedup: words of a shingle, similarity, radius, nodes of a tile, hashes of a sketch, ratio of size classes.
-WIDTH, SIMILAR, RADIUS, SIDE, SKETCH, RATIO = 5, 0.8, 12, 16_384, 128, 1.25
+#: Of near_dedup: words of a shingle, similarity, nodes of a tile, ratio of size classes.
+WIDTH, SIMILAR, SIDE, RATIO = 5, 0.8, 16_384, 1.25
 #: Shingles that are judged at once.
 LOT = 1 << 20
 _RAW = "__utf8"
@@ -201,106 +200,82 @@ def classes(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     return marked.join(by_fp, "fp")
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """(id, raw, digest, fp, size, sketch): of every row its id and text's digest, the digest of its words, the fingerprint, and the shingle set's size and smallest hashes."""
+def parity_map(hashes: np.ndarray) -> bytes:
+    """Which of the low values of some hashes are met an odd number of times; as many bits as hashes, in powers of two, 128 at least.
+
+    Maps of two sets differ in at most as many bits as the sets have terms that aren't common, and so do their folded halves."""
+    width = max(128, 1 << max(len(hashes) - 1, 0).bit_length())
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _mapped(docs: DataFrame) -> DataFrame:
+    """(id, raw, digest, size, map): of every row its id and text's digest, the digest of its words, and the shingle set's size and parity map."""
     src = _named(docs).select(F.col("__id").alias("id"), F.col("__raw").alias("raw"), utf8("text").alias(_RAW))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, bits, sizes, sketches = [], [], [], []
+            digests, sizes, maps = [], [], []
             for raw in b.column(2):
                 words = b" ".join(raw.as_py().lower().split())
-                three, five = np.array(fingerprint_of(words), np.uint64), np.unique(np.array(fingerprint_of(words, WIDTH), np.uint64))
+                five = np.unique(np.array(fingerprint_of(words, WIDTH), np.uint64))
                 digests.append(xxhash.xxh3_128_digest(words))
-                bits.append(majority(three, np.array([len(three)]))[0])
                 sizes.append(len(five))
-                # by the upper bits, so that equal low halves never hide a difference of order
-                sketches.append((five[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(np.array(bits, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], ["id", "raw", "digest", "fp", "size", "sketch"]
-            )
+                maps.append(parity_map(five))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary())], ["id", "raw", "digest", "size", "map"])
 
-    return src.mapInArrow(run, "id long, raw binary, digest binary, fp long, size int, sketch binary")
+    return src.mapInArrow(run, "id long, raw binary, digest binary, size int, map binary")
 
 
-_PAD = np.uint32((1 << 32) - 1)
+def _folded(table: np.ndarray, words: int) -> np.ndarray:
+    while table.shape[1] > words:
+        half = table.shape[1] // 2
+        table = table[:, :half] ^ table[:, half:]
+    return table
 
 
-def _table(sketches: list[np.ndarray]) -> np.ndarray:
-    """The sketches as rows of one table, filled up with a value above all hashes."""
-    out = np.full((len(sketches), SKETCH), _PAD, np.uint32)
-    for i, s in enumerate(sketches):
-        out[i, : len(s)] = np.minimum(s, _PAD - np.uint32(1))
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which each row of x differs from each of y."""
+    out = np.zeros((len(x), len(y)), np.int32)
+    for k in range(x.shape[1]):
+        out += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
     return out
 
 
-def _shares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Jaccard similarities, row by row, by the smallest hashes of each union; rows are sorted and distinct."""
-    k = x.shape[1]
-    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
-    twice = both[:, 1:] == both[:, :-1]
-    real = both < _PAD
-    first = real.copy()
-    first[:, 1:] &= ~twice
-    order = np.cumsum(first, axis=1, dtype=np.int16)  # number of each distinct hash
-    # only hashes among the k smallest of the union count, and all of them if both sets are whole
-    common = (twice & real[:, 1:] & (order[:, 1:] <= k)).sum(1)
-    union = np.minimum(order[:, -1], k)
-    whole = (x[:, -1] == _PAD) & (y[:, -1] == _PAD)
-    if whole.any():
-        common[whole] = (twice & real[:, 1:])[whole].sum(1)
-        union[whole] = order[whole, -1]
-    return np.where(union > 0, common / np.maximum(union, 1), 1.0)
-
-
-def _similar(table: np.ndarray, a: np.ndarray, b: np.ndarray, lot: int = 4096) -> np.ndarray:
-    """Which pairs may reach SIMILAR.  Sketches turn away pairs that are far from it (six standard errors; the smallest quarter first, four); judged() has the verdict."""
-    good = np.zeros(len(a), bool)
-    few = SKETCH // 4
-    for lo in range(0, len(a), lot):
-        i, j = a[lo : lo + lot], b[lo : lo + lot]
-        open_ = np.flatnonzero(_shares(table[i, :few], table[j, :few]) >= SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / few) ** 0.5)
-        good[lo + open_] = _shares(table[i[open_]], table[j[open_]]) >= SIMILAR - 6 * (SIMILAR * (1 - SIMILAR) / SKETCH) ** 0.5
-    return good
-
-
-def _linked(fp: np.ndarray, left: np.ndarray, right: np.ndarray, table: np.ndarray, side: int = 2048) -> np.ndarray:
-    """Smallest index that each node reaches by links between left and right; both hold indices."""
-    label = np.arange(len(fp))
-    counts = np.bitwise_count(fp).astype(int)
-    left, right = left[np.argsort(counts[left], kind="stable")], right[np.argsort(counts[right], kind="stable")]
-    for lo in range(0, len(left), side):
-        mine = left[lo : lo + side]
-        for at in range(0, len(right), side):
-            other = right[at : at + side]
-            if counts[mine[0]] - counts[other[-1]] > RADIUS or counts[other[0]] - counts[mine[-1]] > RADIUS:
+def _maybe(left: np.ndarray, right: np.ndarray, size: np.ndarray, maps: list[bytes], side: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs, of left and right, whose maps don't rule out a similarity of SIMILAR (0.8: no more than a ninth of both sizes isn't common)."""
+    width = np.array([len(m) for m in maps]) // 8
+    same = left is right
+
+    def tables(idx: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        return [(int(w), mine := idx[width[idx] == w], np.frombuffer(b"".join([maps[i] for i in mine]), "<u8").reshape(-1, w)) for w in np.unique(width[idx])]
+
+    lefts = tables(left)
+    for wl, i, x in lefts:
+        for wr, j, y in lefts if same else tables(right):
+            if same and wr < wl:
                 continue
-            i, j = np.nonzero(np.bitwise_count(fp[mine, None] ^ fp[None, other]) <= RADIUS)
-            i, j = mine[i], other[j]
-            while len(i):
-                apart = label[i] != label[j]
-                i, j = i[apart], j[apart]
-                _, now = np.unique(j, return_index=True)  # one pair of each node at a time; most others are then settled
-                if not len(now):
-                    break
-                a, b = i[now], j[now]
-                good = _similar(table, a, b)
-                for u, v in zip(label[a[good]], label[b[good]], strict=True):
-                    while label[u] != u:
-                        u = label[u]
-                    while label[v] != v:
-                        v = label[v]
-                    label[max(u, v)] = min(u, v)
-                while (label[label] != label).any():
-                    label = label[label]
-                rest = np.ones(len(i), bool)
-                rest[now] = False
-                i, j = i[rest], j[rest]
-    return label
+            words = min(wl, wr)
+            xf, yf = _folded(x, words), _folded(y, words)
+            few = max(2, words // 2)
+            xh, yh = _folded(xf, few), _folded(yf, few)
+            for lo in range(0, len(i), side):
+                for at in range(lo if same and wl == wr else 0, len(j), side):
+                    both = size[i[lo : lo + side], None] + size[None, j[at : at + side]]
+                    a, b = np.nonzero(9 * _apart(xh[lo : lo + side], yh[at : at + side]) <= both)
+                    if few < words:
+                        parts = [np.zeros(0, bool)]
+                        for k in range(0, len(a), 1 << 14):
+                            p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+                            parts.append(9 * np.bitwise_count(xf[lo + p] ^ yf[at + q]).sum(1, dtype=np.int64) <= both[p, q])
+                        good = np.concatenate(parts)
+                        a, b = a[good], b[good]
+                    if len(a):
+                        yield i[lo + a], j[at + b]
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest, tile by tile, of the links among nodes (node, fp, size, sketch)."""
+    """(a, b): a spanning forest, tile by tile, of the pairs among nodes (node, size, map) that may be as similar as SIMILAR; no such pair is missed."""
     klass = F.when(F.col("size") < 1, F.lit(-9)).otherwise(F.floor(F.log(RATIO, F.col("size")) + F.lit(1e-9))).cast("int")
     sized = nodes.withColumn("klass", klass)
     # a row for each size class there is: under a hundred
@@ -321,16 +296,15 @@ def near_links(nodes: DataFrame) -> DataFrame:
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        order = pc.sort_indices(table["node"]).to_numpy()
-        node, fp = table["node"].take(pa.array(order)), table["fp"].to_numpy()[order].view(np.uint64)
-        is_left = table["left"].to_numpy(zero_copy_only=False)[order]
-        sketch = _table([np.frombuffer(s, "<u4") for s in table["sketch"].take(pa.array(order)).to_pylist()])
+        order = pc.sort_indices(table["node"])
+        node, size, maps = table["node"].take(order), table["size"].take(order).to_numpy().astype(np.int32), table["map"].take(order).to_pylist()
+        is_left = table["left"].take(order).to_numpy(zero_copy_only=False)
         left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        root = _linked(fp, left, right if len(right) else left, sketch)
+        root = _roots(len(node), _maybe(left, right if len(right) else left, size, maps))
         found = root != np.arange(len(root))
         return pa.table({"a": node.filter(pa.array(found)), "b": node.take(pa.array(root[found]))})
 
-    met = sized.select("node", "fp", "sketch", F.explode(meets).alias("m")).select("node", "fp", "sketch", "m.*")
+    met = sized.select("node", "size", "map", F.explode(meets).alias("m")).select("node", "size", "map", "m.*")
     return met.groupBy("c", "i", "d", "j").applyInArrow(compare, "a binary, b binary")
 
 
@@ -403,11 +377,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     Texts with the same words are one node, whatever their ids; a null doc_id counts as the largest, and equal
     ids are ordered by the words' digest.  A component keeps one row: of its first node, the smallest doc_id."""
-    marked = written(_sketches(docs))
+    marked = written(_mapped(docs))
     # a node's name is its smallest id, in the order of unsigned bytes, and its words' digest
-    nodes = marked.groupBy("digest").agg(F.min(F.struct("id", "raw")).alias("top"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes.select(F.concat(F.unhex(F.lpad(F.hex(F.col("top.id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), "digest").alias("node"), "top", "fp", "size", "sketch"))
-    maybe = components(near_links(nodes.select("node", "fp", "size", "sketch")))
+    nodes = marked.groupBy("digest").agg(F.min(F.struct("id", "raw")).alias("top"), F.first("size").alias("size"), F.first("map").alias("map"))
+    nodes = written(nodes.select(F.concat(F.unhex(F.lpad(F.hex(F.col("top.id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), "digest").alias("node"), "top", "size", "map"))
+    maybe = components(near_links(nodes.select("node", "size", "map")))
     found = components(judged(docs, written(nodes.select("node", "top", "size").join(maybe, "node"))))
     later = found.where("label < node").select("node")
     keep = nodes.join(later, "node", "left_anti").select(F.col("top.id").alias("__id"), F.col("top.raw").alias("__raw"))

@@ -152,3 +152,14 @@ def test_forest_is_exact():
         a, b = sorted((root[i], root[j]))
         root = [a if r == b else r for r in root]
     assert root == components_at([set(h.tolist()) for h in hashes])
+
+
+def test_near_dedup_is_exact_for_long_texts(spark, monkeypatch):
+    texts = near_line(np.random.default_rng(10))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = sorted(set(components_at(sets)))
+    assert 70 < len(want) < 110
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for lot in (1 << 20, 1500):
+        monkeypatch.setattr(s, "LOT", lot)
+        assert sorted(r.doc_id for r in s.near_dedup(docs).collect()) == want
