@@ -15,7 +15,8 @@ Statistics cover all rows.  Words are counted in blocks; a block hands on the
 words that make up ``common``/2 of it, which loses less than ``common``/2 of any
 word, so at most 2/``common`` words a language are candidates, and a second pass
 counts these exactly: what is collected is bounded by the number of languages,
-and languages under ``min_lang`` of all words have no reference of their own.
+and languages of under ``min_lang`` words have no reference.  Their documents are
+spared the word comparison, since other languages' words say nothing about them.
 All sums are of integers, so reruns agree whatever the partitioning.
 
 Null text has no words; null lang is a language of its own.  Documents that fail
@@ -65,7 +66,7 @@ class Rules:
     min_chars: int = 150
     min_words: int = 60
     common: float = 0.002
-    min_lang: float = 0.001
+    min_lang: int = 5000
     max_char: float = 0.25
     max_word: float = 0.20
     slack: float = 2.0
@@ -198,8 +199,7 @@ def learn(docs: DataFrame, rules: Rules = Rules()) -> References:
     kept = found.join(F.broadcast(total), "lang").where((F.col("h").isNull()) | (F.col("n") >= F.lit(rules.common / 2) * F.col("all")))
     rows = kept.collect()
     totals = {r.lang: r for r in rows if r.h is None}
-    everything = sum(r.n for r in totals.values())
-    langs = sorted(a for a, r in totals.items() if r.n and r.n >= rules.min_lang * everything)
+    langs = sorted(a for a, r in totals.items() if r.n and r.n >= rules.min_lang)
     wanted = {a: np.sort(np.array([r.h for r in rows if r.h is not None and r.lang == a], np.int64).astype(np.uint64)) for a in langs}
     exact = {(r.lang, r.h): r.n for r in _counts(docs.where(F.coalesce(F.col("lang").cast("string"), F.lit("")).isin(langs)), rules, wanted).where("h is not null").collect()} if langs else {}
     refs = References(langs)
@@ -232,15 +232,18 @@ def _distances(block: Block, refs: References) -> tuple[np.ndarray, np.ndarray]:
     look = np.unique(np.concatenate([h for h, _ in refs.words]))
     by_word = np.ones(n)
     size = np.maximum(block.n_words, 1)[:, None]
+    at, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(look):
         h = block.lower_hashes()
         at = np.minimum(np.searchsorted(look, h), len(look) - 1)
         hit = look[at] == h
-        table = np.bincount(block.doc[hit] * len(look) + at[hit], minlength=n * len(look)).reshape(n, len(look)) / size
-    else:
-        table = np.zeros((n, 0))
+        at, doc = at[hit], block.doc[hit]
     for hashes, shares in refs.words:
-        p = table[:, np.searchsorted(look, hashes)]
+        # a table for each language: all words of all languages at once would grow with their number
+        column = np.full(len(look), -1)
+        column[np.searchsorted(look, hashes)] = np.arange(len(hashes))
+        mine = column[at]
+        p = np.bincount(doc[mine >= 0] * len(hashes) + mine[mine >= 0], minlength=n * len(hashes)).reshape(n, len(hashes)) / size
         p = np.concatenate([p, np.maximum(1 - p.sum(1, keepdims=True), 0)], 1)
         by_word = np.minimum(by_word, distance(p, np.append(shares, max(0.0, 1 - shares.sum()))[None, :]))
     return by_char, by_word
@@ -251,6 +254,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), refs: References | None = Non
     refs = learn(docs, rules) if refs is None else refs
     added = [*[(c, "long") for c in SIGNALS], ("char_distance", "double"), ("word_distance", "double"), ("base_failed", "boolean"), ("kept", "boolean")]
     keep = docs.drop(*[c for c, _ in added])
+    known = set(refs.langs)
     schema = T.StructType([*keep.schema.fields, *[T.StructField(c, {"long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}[k]) for c, k in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,18 +263,22 @@ def judge(docs: DataFrame, rules: Rules = Rules(), refs: References | None = Non
             limit = rules.max_word + rules.slack / np.sqrt(np.maximum(block.n_words, 1))
             good_chars = (by_char <= rules.max_char) | (block.chars.sum(1) < rules.min_chars)
             good_words = (by_word <= limit) | (block.n_words < rules.min_words)
+            if _LANG in b.schema.names:
+                good_words |= ~np.array([x in known for x in b.column(b.schema.get_field_index(_LANG)).to_pylist()], bool)
             kept = ~block.base_failed & good_chars & good_words
-            at = b.schema.get_field_index(_RAW)
-            cols = [b.column(i) for i in range(b.num_columns) if i != at]
+            cols = [b.column(i) for i, c in enumerate(b.schema.names) if c not in (_RAW, _LANG)]
             cols += [pa.array(getattr(block, c).astype(np.int64)) for c in SIGNALS]
             cols += [pa.array(x) for x in (by_char, by_word, block.base_failed, kept)]
-            yield pa.RecordBatch.from_arrays(cols, [*[c for c in b.schema.names if c != _RAW], *[c for c, _ in added]])
+            yield pa.RecordBatch.from_arrays(cols, [*[c for c in b.schema.names if c not in (_RAW, _LANG)], *[c for c, _ in added]])
 
-    return keep.withColumn(_RAW, utf8("text")).mapInArrow(run, schema)
+    src = keep.withColumn(_RAW, utf8("text"))
+    if "lang" in keep.columns:
+        src = src.withColumn(_LANG, F.coalesce(F.col("lang").cast("string"), F.lit("")))
+    return src.mapInArrow(run, schema)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base signals and the verdict for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = judge(docs.select("doc_id", "text"), refs=learn(docs))
+    got = judge(docs.select("doc_id", "text", "lang"), refs=learn(docs))
     return got.select("doc_id", *SIGNALS, "base_failed", "kept", "char_distance", "word_distance")

@@ -53,3 +53,19 @@ def test_distance():
     p = np.array([[0.5, 0.5, 0.0]])
     assert q.distance(p, p[0])[0] == 0
     assert abs(q.distance(np.array([[1.0, 0, 0]]), np.array([0, 1.0, 0]))[0] - 1) < 1e-12
+
+
+def test_rare_languages_are_not_judged_by_others(spark):
+    rng = np.random.default_rng(3)
+    # one language of 6,000 words and one of 800 beside one of 7 million, so that the two are under 0.1 % of all words
+    other = lambda i, k, n: " ".join("%s%d" % (k, rng.integers(12)) if rng.random() < 0.9 else sentence(rng, 1) for _ in range(n))
+    big = [(1000 + i, sentence(rng, 250), "en") for i in range(70)]
+    rare = [(i, other(i, "mid", 200), "mid") for i in range(30)] + [(100 + i, other(i, "few", 200), "few") for i in range(4)]
+    docs = spark.createDataFrame(big, "doc_id long, text string, lang string").selectExpr("doc_id", "text", "lang", "explode(sequence(1, 400)) as k").drop("k")
+    docs = docs.unionByName(spark.createDataFrame(rare, "doc_id long, text string, lang string")).repartition(4)
+    refs = q.learn(docs)
+    assert refs.langs == ["en", "mid"]
+    got = q.judge(docs.where("lang != 'en'"), refs=refs).collect()
+    assert [r.doc_id for r in got if r.base_failed] == []
+    assert sum(r.kept for r in got if r.lang == "mid") >= 28 and all(r.kept for r in got if r.lang == "few")
+    assert all(r.word_distance > 0.2 + 2 / r.n_words**0.5 for r in got if r.lang == "few")  # over the limit by the others
