@@ -53,6 +53,8 @@ def check(rules: list[Rule]) -> list[Rule]:
             raise ValueError(f"{r.rule_id}: one kind of predicate, not two")
         if r.max_path_factor is not None and (not isinstance(r.max_path_factor, int) or r.max_path_factor < 0):
             raise ValueError(f"{r.rule_id}: max_path_factor must be a whole number")
+        if r.prerequisites or r.max_path_factor is not None:
+            raise ValueError(f"{r.rule_id}: prerequisites and path factors aren't evaluated")
     return rules
 
 

@@ -126,3 +126,10 @@ def test_rule_conditions(spark):
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(20, 22), (22, 21)], "a long, b long")
     assert {tuple(r) for r in graph.components(links).collect()} == {(i, 1) for i in range(1, 13)} | {(20, 20), (21, 20), (22, 20)}
+
+
+def test_rules_with_prerequisites_are_rejected():
+    for r in (rules.Rule("a", prerequisites=("b",)), rules.Rule("a", max_path_factor=3)):
+        with pytest.raises(ValueError, match="aren't evaluated"):
+            rules.check([r])
+    assert rules.check(rules.DEMO_RULES) == rules.DEMO_RULES
