@@ -9,8 +9,9 @@ Equal fingerprints are one node.  Nodes are dealt into tiles by the population
 counts of the fingerprint's ``PARTS`` equal parts: fingerprints within the radius
 have counts that differ, summed over the parts, by no more than the radius, so
 only tiles that near each other are compared, every pair of tiles in one place.
-A tile with more than ``TILE`` nodes is cut into blocks that are compared two by
-two, so no task holds more than one block and its visitors.  Within a task
+A tile with more than ``TILE`` nodes is cut into blocks; these meet one other block
+at a time, so no task holds more than one block and the few tiles without blocks
+that are next to it.  Fingerprints travel packed, by tile.  Within a task
 numpy's exclusive-or and bit counts find all links; what leaves it is a spanning
 forest of them, at most one row a node.  Components are found by passing on the
 smallest label with shortcuts, each round written to the shared folder.
@@ -45,7 +46,9 @@ from pyspark.sql import types as T
 from lineagram.llm.common import buffers, pieces, utf8, written
 
 PARTS = 4
-TILE = 32_768
+TILE = 131_072
+#: Fingerprints that are packed together before they are shuffled.
+HELD = 1 << 16
 SEED = 42
 #: Of near_dedup: words of a shingle, similarity, nodes of a tile, ratio of size classes.
 WIDTH, SIMILAR, SIDE, RATIO = 5, 0.8, 16_384, 1.25
@@ -120,55 +123,113 @@ def _roots(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return label
 
 
-def _near(home: np.ndarray, guest: np.ndarray, radius: int, side: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (home, home or guest) within the radius; guests count on after the homes."""
+def _near(home: np.ndarray, guest: np.ndarray, radius: int, side: int = 2048, own: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (home, guest), and with own (home, home), within the radius; guests count on after the homes."""
     everyone = np.concatenate([home, guest])
     for lo in range(0, len(home), side):
         mine = home[lo : lo + side, None]
-        for at in range(lo, len(everyone), side):
+        for at in range(lo if own else len(home), len(everyone), side):
             i, j = np.nonzero(np.bitwise_count(mine ^ everyone[None, at : at + side]) <= radius)
             ahead = i + lo < j + at
             if ahead.any():
                 yield i[ahead] + lo, j[ahead] + at
 
 
+def _blocks_of(cells: np.ndarray, many: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Blocks of each cell; cells that aren't among many have one."""
+    if not len(many):
+        return np.ones(len(cells), np.int64)
+    at = np.minimum(np.searchsorted(many, cells), len(many) - 1)
+    return np.where(many[at] == cells, blocks[at], 1)
+
+
+def _times(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, number): each index as often as its count says, and which time it is."""
+    index = np.repeat(np.arange(len(counts)), counts)
+    return index, np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _meetings(fp: np.ndarray, radius: int, many: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(index, cell, block, of, at, home): where fingerprints meet others.
+
+    A cell's block is at home in (cell, block, -1, 0), where it meets itself and visitors from cells of one block, and in
+    (cell, block, of, at) for each block ``at`` of a cell ``of`` that has several."""
+    bits = 64 // PARTS
+    side = bits + 1
+    weight = np.array([side ** (PARTS - 1 - i) for i in range(PARTS)])
+    p = np.stack([np.bitwise_count(fp >> np.uint64(bits * i) & np.uint64((1 << bits) - 1)) for i in range(PARTS)], axis=1).astype(np.int64)
+    cell = p @ weight
+    n = _blocks_of(cell, many, blocks)
+    block = (fp * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
+    alone = n == 1
+
+    def row(index, to, i, of, at, home):
+        return index, to, i, np.broadcast_to(of, index.shape), np.broadcast_to(at, index.shape), np.broadcast_to(home, index.shape)
+
+    everyone = np.arange(len(fp))
+    yield row(everyone, cell, block, -1, 0, True)
+    k, j = _times(np.where(alone, 0, n))
+    yield from (row(k[s], cell[k[s]], i[s], cell[k[s]], at[s], home) for s, i, at, home in ((j > block[k], block[k], j, True), (j < block[k], j, block[k], False)))
+    for d in product(range(-radius, radius + 1), repeat=PARTS):
+        if sum(map(abs, d)) > radius or d <= (0,) * PARTS:
+            continue
+        step = int(np.array(d) @ weight)
+        idx = np.flatnonzero(((p + d >= 0) & (p + d < side)).all(1))
+        to = cell[idx] + step
+        k, i = _times(_blocks_of(to, many, blocks))
+        idx, to = idx[k], to[k]
+        yield row(idx, to, i, np.where(alone[idx], -1, cell[idx]), np.where(alone[idx], 0, block[idx]), False)
+        if len(many):  # and is at home to the blocks of cells that visit its own
+            idx = np.flatnonzero(((p - d >= 0) & (p - d < side)).all(1))
+            k, at = _times((n_of := _blocks_of(cell[idx] - step, many, blocks)) * (n_of > 1))
+            idx = idx[k]
+            yield row(idx, cell[idx], block[idx], cell[idx] - step, at, True)
+
+
 def links(nodes: DataFrame, radius: int) -> DataFrame:
     """(a, b): a spanning forest of the links among the distinct fingerprints in column ``fp``."""
     bits = 64 // PARTS
-    steps = [d for d in product(range(-radius, radius + 1), repeat=PARTS) if sum(map(abs, d)) <= radius]
-    ahead = [d for d in steps if d > (0,) * PARTS]
-    side = bits + 1
-    offset = lambda d: sum(x * side ** (PARTS - 1 - i) for i, x in enumerate(d))
     counts = [F.bit_count(F.shiftrightunsigned("fp", bits * i).bitwiseAND(F.lit((1 << bits) - 1))).cast("int") for i in range(PARTS)]
-    celled = nodes.select("fp", *[c.alias(f"p{i}") for i, c in enumerate(counts)])
-    own = sum((F.col(f"p{i}") * side ** (PARTS - 1 - i) for i in range(PARTS)), F.lit(0))
-    celled = celled.withColumn("cell", own.cast("int"))
-    # at most side ** PARTS rows, whatever the input
-    blocks = celled.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("blocks"))
-    # only cells with several blocks are looked up; others have one
-    many = F.broadcast(blocks.where("blocks > 1"))
-    home = celled.join(many, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    home = home.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    at_home = home.select("cell", "block", "fp", F.lit(True).alias("home"))
-    later = home.where("block + 1 < blocks").select("cell", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("block"), "fp", F.lit(False).alias("home"))
-    reach = F.array(*[F.when(_inside(d, side), F.col("cell") + F.lit(offset(d))) for d in ahead])
-    gone = celled.select("fp", F.explode(F.array_compact(reach)).alias("cell"))
-    gone = gone.join(many, "cell", "left").select("cell", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"), "fp", F.lit(False).alias("home"))
+    cell = sum((c * (bits + 1) ** (PARTS - 1 - i) for i, c in enumerate(counts)), F.lit(0))
+    # at most (bits + 1) ** PARTS rows, whatever the input
+    large = sorted((r[0], -(-r[1] // TILE)) for r in nodes.groupBy(cell.alias("cell")).count().where(F.col("count") > TILE).collect())
+    many, blocks = np.array([c for c, _ in large], np.int64), np.array([b for _, b in large], np.int64)
+    names = ["cell", "block", "of", "at", "home", "fps"]
+
+    def packed(fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        index, cell, block, of, at, home = (np.concatenate(x) for x in zip(*_meetings(fp, radius, many, blocks), strict=True))
+        place, guest = cell << 40 | block << 1 | home, (of + 1) << 32 | at
+        order = np.lexsort((place, guest)) if guest.any() else np.argsort(place, kind="stable")
+        place, guest = place[order], guest[order]
+        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (guest[1:] != guest[:-1])]))
+        body, ends = fp[index[order]].tobytes(), np.append(first, len(order)) * 8
+        heads = order[first]
+        yield pa.RecordBatch.from_arrays([*[pa.array(x[heads].astype(np.int32)) for x in (cell, block, of, at)], pa.array(home[heads]), pa.array([body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b.column(0).to_numpy().view(np.uint64))
+            n += b.num_rows
+            if n >= HELD:
+                yield from packed(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield from packed(np.concatenate(held))
 
     def compare(table: pa.Table) -> pa.Table:
-        fp = table["fp"].to_numpy().view(np.uint64)
         is_home = table["home"].to_numpy(zero_copy_only=False)
-        home, guest = np.sort(fp[is_home]), np.sort(fp[~is_home])
+        bodies = table["fps"].to_pylist()
+        home, guest = (np.sort(np.frombuffer(b"".join([b for b, h in zip(bodies, is_home, strict=True) if h == side]), np.uint64)) for side in (True, False))
         everyone = np.concatenate([home, guest])
-        root = _roots(len(everyone), _near(home, guest, radius)) if len(home) else np.arange(len(everyone))
+        root = np.arange(len(everyone))
+        if len(home):
+            root = _roots(len(everyone), _near(home, guest, radius, own=table["of"][0].as_py() < 0))
         found = root != np.arange(len(root))
         return pa.table({"a": everyone[found].view(np.int64), "b": everyone[root[found]].view(np.int64)})
 
-    return at_home.unionByName(later).unionByName(gone).groupBy("cell", "block").applyInArrow(compare, "a long, b long")
-
-
-def _inside(d: tuple[int, ...], side: int) -> F.Column:
-    return F.expr(" and ".join(f"p{i} + ({x}) between 0 and {side - 1}" for i, x in enumerate(d)))
+    dealt = nodes.select("fp").mapInArrow(deal, "cell int, block int, of int, at int, home boolean, fps binary")
+    return dealt.groupBy("cell", "block", "of", "at").applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
