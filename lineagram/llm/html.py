@@ -8,13 +8,15 @@ content.  The container is the deepest element that holds most of the content.
 In an element that says it is the article everything is kept that isn't furniture;
 elsewhere, blocks whose path is content, and their headings, lists and short
 paragraphs beside them.  Furniture is known by its element's name (navigation,
-footers, forms, ...) or by the words of its class, id or role.
+footers, forms, ...) or by its class, id or role, where a name counts only if it
+says nothing else ("share-buttons" does, "social-history" doesn't).
 
 Character references are decoded, white space inside a block becomes one space
 (a line break is white space), blocks are joined in page order by a line feed.
 Null and empty html have no text, and neither has a page of furniture alone.
 Unclosed elements, comments and tags are closed by the page's end.  Each page is
-worked on alone: rows are never moved.  Extra columns pass through; a column of
+worked on alone, in time that is linear in its length: rows are never moved, and
+repeated rows and ids get a row each.  Extra columns pass through; a column of
 the name of an added one is replaced.
 """
 
@@ -45,7 +47,7 @@ FURNITURE = frozenset(
     "head title script style noscript template iframe object nav footer aside form button select option textarea input fieldset legend"
     " svg canvas video audio dialog menu noframes noembed".split()
 )
-#: Words of class, id and role that say the same.
+#: Words of class, id and role that say the same; a name such as "share-buttons" says so if all its words are signs or helpers.
 SIGNS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion banner cookie cookies consent gdpr"
     " notice notices notification notifications alert alerts popup modal overlay sidebar aside complementary menu menus nav navbar navigation"
@@ -53,6 +55,12 @@ SIGNS = frozenset(
     " share sharing social related recommended recommendations newsletter subscribe subscription signup login search form widget widgets"
     " pagination pager copyright legal disclaimer skip".split()
 )
+HELPERS = frozenset(
+    "area articles bar block bottom box btn button buttons center column content container cta footer frame global group head header holder icon"
+    " icons inline inner item items js left link links list main message middle module more outer page panel post posts primary read right row"
+    " secondary section site slot small stories sticky strip text thread title to top unit up user video wrap wrapper you your like may also"
+    " site policy us follow in on the and for no of".split()
+)
 HEADER_SIGNS = frozenset(("header", "banner"))
 ARTICLE_SIGNS = frozenset("article main content post entry story articlebody maincontent".split())
 CONTAINERS = frozenset("html body article main section div td table tbody tr center".split())
@@ -65,12 +73,19 @@ CLOSES = {
 ENDS_P = BLOCK - frozenset("script style template noscript option optgroup title textarea iframe object video audio canvas svg button".split())
 
 TAG = re.compile(r"""<(?:!--(?P<note>.*?)(?:-->|--!>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|[="'])*+)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
+NAME = re.compile(r"[^\s]+")
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 WORD = re.compile(r"[a-z]+")
 MARKS = re.compile(r"""[.,;:!?…。，、；：！？"“”«»¿¡]""")
 
 
+def _furniture(words: list[str], in_article: bool) -> bool:
+    """Whether a class, id or role names furniture; headers of an article are its own."""
+    signs = [w for w in words if w in SIGNS or (not in_article and w in HEADER_SIGNS)]
+    return bool(signs) and all(w in SIGNS or w in HELPERS or w in HEADER_SIGNS or len(w) < 3 for w in words)
+
+
 class _Page:
     """Elements and blocks of one page."""
 
@@ -88,6 +103,8 @@ def _read(html: str) -> _Page:
     tags, parents, bad, article, paths, blocks = page.tags, page.parents, page.bad, page.article, page.paths, page.blocks
     known: dict[tuple[int, str], int] = {}
     stack, parts = [0], []
+    #: Places in the stack, innermost last: of each element name and of all block elements.
+    open_, blocks_open = {"#": [0]}, [0]
     linked, links_open, pos = 0, 0, 0
     home = 0  # the block element or inline element where the open block's text began
     n = len(html)
@@ -114,7 +131,15 @@ def _read(html: str) -> _Page:
     def pop(to: int) -> None:
         nonlocal links_open
         while len(stack) > to:
-            links_open -= tags[stack.pop()] == "a"
+            tag = tags[stack.pop()]
+            open_[tag].pop()
+            links_open -= tag == "a"
+        while blocks_open[-1] >= to:
+            blocks_open.pop()
+
+    def innermost(name: str) -> int:
+        places = open_.get(name)
+        return places[-1] if places else -1
 
     while pos < n:
         m = TAG.search(html, pos)
@@ -134,40 +159,31 @@ def _read(html: str) -> _Page:
         if name in BLOCK:
             flush()
         if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if tags[stack[i]] == name:
-                    pop(i)
-                    break
-                if name not in BLOCK and tags[stack[i]] in BLOCK:  # an inline end never closes a block
-                    break
+            at = innermost(name)
+            if at > 0 and (name in BLOCK or at > blocks_open[-1]):  # an inline end never closes a block
+                pop(at)
             continue
         if name in VOID:
             continue
         if name in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if tags[stack[i]] == "p":
-                    pop(i)
-                    break
-                if tags[stack[i]] in BLOCK:
-                    break
+            if tags[stack[blocks_open[-1]]] == "p":
+                pop(blocks_open[-1])
         if name in CLOSES:
             closed, until = CLOSES[name]
-            for i in range(len(stack) - 1, 0, -1):
-                if tags[stack[i]] in until:
-                    break
-                if tags[stack[i]] in closed.split():
-                    pop(i)
-                    break
+            at = max(innermost(x) for x in closed.split())
+            if at > max(innermost(x) for x in until):
+                pop(at)
         up = stack[-1]
         attrs = m["attrs"]
         is_bad, is_article = bad[up] or name in FURNITURE, article[up] or name in ("article", "main")
         if name == "header" and not article[up]:
             is_bad = True
         if attrs and not is_bad:
-            found = [x for t in ATTR.findall(attrs) for x in WORD.findall(" ".join(t).lower())]
+            found = [WORD.findall(x) for t in ATTR.findall(attrs) for x in NAME.findall(" ".join(t).lower())]
             if found:
-                is_article = is_article or (name in CONTAINERS and not ARTICLE_SIGNS.isdisjoint(found))
-                is_bad = name not in ("html", "body") and (not SIGNS.isdisjoint(found) or (not article[up] and not HEADER_SIGNS.isdisjoint(found)))
+                says_article = name in CONTAINERS and any(len(x) == 1 and x[0] in ARTICLE_SIGNS for x in found)
+                is_article = is_article or says_article or (name in CONTAINERS and any(not ARTICLE_SIGNS.isdisjoint(x) and SIGNS.isdisjoint(x) for x in found))
+                is_bad = name not in ("html", "body") and not says_article and any(_furniture(x, article[up]) for x in found)
             is_bad = is_bad or HIDDEN.search(attrs) is not None
         tags.append(name)
         parents.append(up)
@@ -184,11 +200,25 @@ def _read(html: str) -> _Page:
             continue
         if not attrs.rstrip().endswith("/") or name not in ("svg", "path"):
             stack.append(len(tags) - 1)
+            open_.setdefault(name, []).append(len(stack) - 1)
+            if name in BLOCK:
+                blocks_open.append(len(stack) - 1)
             links_open += name == "a"
     flush()
     return page
 
 
+def ratios(page: _Page) -> dict[int, float]:
+    """Of each tag path, length of text outside links a block, fused with marks a block."""
+    sums: dict[int, list[float]] = {}
+    for text, at, linked in page.blocks:
+        s = sums.setdefault(page.paths[at], [0.0, 0.0, 0.0])
+        s[0] += max(0, len(text) - linked)
+        s[1] += len(MARKS.findall(text)) if linked * 2 < len(text) else 0
+        s[2] += 1
+    return {k: a / n * math.sqrt(1 + b / n) for k, (a, b, n) in sums.items()}
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
@@ -197,14 +227,7 @@ def main_text(html: str | None) -> str:
     blocks = page.blocks
     if not blocks:
         return ""
-    # ratios of the tag paths
-    sums: dict[int, list[float]] = {}
-    for text, at, linked in blocks:
-        s = sums.setdefault(page.paths[at], [0.0, 0.0, 0.0])
-        s[0] += max(0, len(text) - linked)
-        s[1] += len(MARKS.findall(text)) if linked * 2 < len(text) else 0
-        s[2] += 1
-    fused = {k: a / n * math.sqrt(1 + b / n) for k, (a, b, n) in sums.items()}
+    fused = ratios(page)
     row = [fused[page.paths[at]] for _, at, _ in blocks]
     last = len(row) - 1
     smooth = [(row[max(0, i - 1)] + 2 * row[i] + row[min(last, i + 1)]) / 4 for i in range(len(row))]
@@ -212,31 +235,30 @@ def main_text(html: str | None) -> str:
     limit = min(LIMIT * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)), 0.5 * max(smooth))
     content = [x >= limit and r > 0 and r >= 0.5 * limit for x, r in zip(smooth, row, strict=True)]
     # the deepest element that holds most of it
-    held: dict[int, int] = {}
-    total = 0
+    held = [0] * len(page.tags)
     for (text, at, linked), is_content in zip(blocks, content, strict=True):
         if is_content:
-            size = max(0, len(text) - linked)
-            total += size
-            while at >= 0:
-                held[at] = held.get(at, 0) + size
-                at = page.parents[at]
+            held[at] += max(0, len(text) - linked)
+    for e in range(len(held) - 1, 0, -1):  # an element comes after its parent
+        held[page.parents[e]] += held[e]
+    total = held[0]
     if not total:
         return ""
-    top = max((e for e, size in held.items() if size >= HOLDS * total and (page.tags[e] in CONTAINERS or e == 0)), default=0)
+    top = max((e for e, size in enumerate(held) if size >= HOLDS * total and (page.tags[e] in CONTAINERS or e == 0)), default=0)
     outer = top
     while outer > 0 and page.article[page.parents[outer]]:
         outer = page.parents[outer]
     if page.article[top]:
         top = outer
+    inside = [False] * len(held)
+    inside[top] = True
+    for e in range(top + 1, len(held)):
+        inside[e] = inside[page.parents[e]]
     chosen = {page.paths[at] for (_, at, _), is_content in zip(blocks, content, strict=True) if is_content}
     parents = {page.parents[at] for (_, at, _), is_content in zip(blocks, content, strict=True) if is_content}
     out = []
     for text, at, linked in blocks:
-        e = at
-        while e > top:
-            e = page.parents[e]
-        if e != top:
+        if not inside[at]:
             continue
         mostly_links = linked * 3 > len(text) * 2
         if page.article[top]:
