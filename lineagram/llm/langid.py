@@ -5,14 +5,16 @@ lower case; everything that isn't a letter is one space), hashed into ``BUCKETS`
 rows of an embedding table.  Their mean goes through a linear layer and a softmax.
 Table and layer are trained together in numpy by stochastic gradient descent,
 on a bounded sample of the labelled rows: about ``SAMPLE`` texts a language,
-chosen by hash, each as a whole and in short pieces, as counts of at most
-``BUCKETS`` entries, so the driver's memory is bounded whatever the texts' length.
+chosen by a hash of the text, each text once however many rows it has, as a whole
+and in short pieces, as counts of at most ``BUCKETS`` entries, so the driver's memory
+is bounded whatever the texts' length and repeats.
 A fifth of the sample is held back to fit the softmax's temperature and the score
 under which a prediction counts as rejected.
 
 To score, the table times the layer is one row of logits a bucket, which is all
 the workers get; every whole text is scored.  Null text and text without a letter
-are ``und`` with score 0.  With nothing to learn from every text is ``und``.
+are ``und`` with score 0.  Languages of equal probability go to the first by name;
+repeated rows get equal predictions.  With nothing to learn from every text is ``und``.
 Extra columns pass through; a column of the name of an added one is replaced.
 """
 
@@ -51,10 +53,12 @@ class Model:
 
 
 def _letters(data: np.ndarray) -> np.ndarray:
-    """The bytes with what mostly isn't letters made spaces: ASCII signs, characters of lead byte 0xC2 or 0xE2, and the two signs under 0xC3."""
+    """The bytes with what mostly isn't letters made spaces: ASCII signs, characters of lead byte 0xC2, those from U+2000 to U+2BFF, and the two signs under 0xC3."""
     out = _FOLD[data]
     for lead, width in ((0xC2, 2), (0xE2, 3)):
         at = np.flatnonzero(data == lead)
+        if lead == 0xE2:  # from U+2C00 on there are letters again
+            at = at[data[np.minimum(at + 1, len(data) - 1)] < 0xB0]
         for k in range(width):
             out[np.minimum(at + k, len(out) - 1)] = 32
     if (data == 0xC3).any():
@@ -126,7 +130,9 @@ def _sampled(docs: DataFrame, lang_col: str, sample: int) -> list[tuple[str, int
                         rows.append({"lang": lang, "key": key, "ids": ids.astype(np.int32), "n": n.astype(np.float32)})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("lang", pa.string()), ("key", pa.int64()), ("ids", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))]))
 
-    got = chosen.select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), utf8("text").alias(_RAW)).mapInArrow(run, "lang string, key long, ids array<int>, n array<float>")
+    # each text once, so that a text of many rows doesn't fill the sample
+    once = chosen.select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), "text").groupBy("lang", "key").agg(F.first("text").alias("text"))
+    got = once.select("lang", "key", utf8("text").alias(_RAW)).mapInArrow(run, "lang string, key long, ids array<int>, n array<float>")
     table = got.toArrow()
     rows = list(zip(table["lang"].to_pylist(), table["key"].to_pylist(), [np.asarray(x.values) for x in table["ids"]], [np.asarray(x.values) for x in table["n"]], strict=True))
     return sorted(rows, key=lambda r: (r[1], r[0], len(r[2]), r[3].tobytes()))

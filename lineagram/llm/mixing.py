@@ -1,6 +1,7 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source's documents are dealt by hash into at most ``BLOCKS`` blocks.  Its quota
+A source's documents are dealt by hash into blocks, several for each output shard, so
+that a block is a small part of a shard at every size.  Its quota
 of words is filled with whole passes over all its blocks and, for the rest, with
 blocks in permuted order that still fit, so it is missed by less than the
 smallest block not used up.  The numbers of blocks drawn from every
@@ -11,9 +12,11 @@ each source's permuted draws, so shards are disjoint, and is shuffled locally by
 hash.  Everything is seeded, so reruns agree.
 
 The driver holds a row per source (sizes, quotas, numbers per shard) and no row
-per document.  Documents with equal id and text are in one block.  Null text has
-no words; a null source is the last source.  An empty table gives an empty mix.
-Extra columns pass through; a column named like an added one is replaced.
+per document; blocks and draws are tables, broadcast only if they are small.  A shard
+is one partition of the mix.  Documents with equal id and text are in one block and
+share its fate; equal sizes and sources need no order.  Null text has no words; a
+null source is the last source.  An empty table gives an empty mix.  Extra columns
+pass through; a column named like an added one is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 
 from lineagram.llm.common import partitions, written
 
-BLOCKS = 512
+#: Blocks of a source: so many at least, and so many for each output shard.
+BLOCKS, BLOCKS_A_SHARD = 512, 8
 #: Rows of the plan up to which it is broadcast (under 100 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -80,9 +84,9 @@ def split(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _sized(docs: DataFrame, seed: int) -> DataFrame:
+def _sized(docs: DataFrame, shards: int, seed: int) -> DataFrame:
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
-    block = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(BLOCKS)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(max(BLOCKS, BLOCKS_A_SHARD * shards))).cast("int")
     return docs.withColumns({"size": words("text"), "__source": key, "__block": block})
 
 
@@ -90,7 +94,7 @@ def plan(docs: DataFrame, shards: int | None = None, seed: int = 7) -> tuple[Dat
     """(quotas, draws): per source key its size and target; per block drawn its shard, a row for each time."""
     spark = docs.sparkSession
     shards = shards or partitions(spark)
-    blocks = written(_sized(docs, seed).groupBy("__source", "__block").agg(F.sum("size").alias("n")))
+    blocks = written(_sized(docs, shards, seed).groupBy("__source", "__block").agg(F.sum("size").alias("n")))
     sizes = {r[0]: r[1] for r in blocks.groupBy("__source").agg(F.sum("n")).collect()}
     name = {k: k[1:] if k else None for k in sizes}
     due = targets([(name[k], n) for k, n in sizes.items()])
@@ -111,27 +115,28 @@ def plan(docs: DataFrame, shards: int | None = None, seed: int = 7) -> tuple[Dat
                     rest -= n[i]
         return pd.DataFrame({"__source": key, "__block": [b for b, _ in got], "pass": [p for _, p in got], "rank": range(len(got))})
 
-    draws = written(blocks.join(F.broadcast(quotas), "__source").groupBy("__source").applyInPandas(draw, "__source string, __block int, pass int, rank long"))
+    draws = written(blocks.join(quotas, "__source").groupBy("__source").applyInPandas(draw, "__source string, __block int, pass int, rank long"))
     drawn = {r[0]: r[1] for r in draws.groupBy("__source").count().collect()}
     keys = sorted(drawn)
     upto = np.cumsum(split(np.array([drawn[k] for k in keys], np.int64), shards, seed), axis=0) if keys else np.zeros((shards, 0), np.int64)
     cuts = spark.createDataFrame([(k, [int(x) for x in upto[:, i]]) for i, k in enumerate(keys)], "__source string, upto array<long>")
-    dealt = draws.join(F.broadcast(cuts), "__source").select("__source", "__block", "pass", F.expr("size(filter(upto, x -> x <= rank))").alias("shard"))
+    dealt = draws.join(cuts, "__source").select("__source", "__block", "pass", F.expr("size(filter(upto, x -> x <= rank))").alias("shard"))
     return quotas, dealt
 
 
 def assign(docs: DataFrame, shards: int | None = None, seed: int = 7) -> DataFrame:
     """Adds ``size``, ``source_size``, ``target``, ``taken`` (words, repeats counted) and ``shards`` (where each copy goes)."""
     added = ("size", "source_size", "target", "taken", "shards")
-    docs = docs.drop(*added)
+    docs, shards = docs.drop(*added), shards or partitions(docs.sparkSession)
     quotas, dealt = plan(docs, shards, seed)
     where = written(dealt.groupBy("__source", "__block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("shards")))
     small = where.count() <= BROADCAST_ROWS
-    got = _sized(docs, seed).join(F.broadcast(quotas) if small else quotas, "__source", "left")
+    given = _sized(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[c for c in ("doc_id", "text", "source")]), shards, seed)
+    got = given.join(F.broadcast(quotas) if small else quotas, "__source", "left")
     got = got.join(F.broadcast(where) if small else where, ["__source", "__block"], "left")
     copies = F.coalesce(F.size("shards"), F.lit(0))
     got = got.withColumns({"taken": F.col("size") * F.when(copies > 0, copies).otherwise(0), "shards": F.coalesce("shards", F.expr("cast(array() as array<struct<pass:int,shard:int>>)"))})
-    return got.select(*docs.columns, *added)
+    return got.select("__row.*", *added)
 
 
 def mix(docs: DataFrame, shards: int | None = None, seed: int = 7) -> DataFrame:
@@ -139,7 +144,7 @@ def mix(docs: DataFrame, shards: int | None = None, seed: int = 7) -> DataFrame:
     n = shards or partitions(docs.sparkSession)
     got = assign(docs, n, seed).select(*[F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "taken", "shards")], F.explode("shards").alias("__at"))
     order = F.xxhash64("doc_id", F.col("__at.pass"), F.lit(seed))
-    return got.withColumn("__order", order).repartition(n, F.col("__at.shard")).sortWithinPartitions(F.col("__at.shard"), "__order", "doc_id").drop("__at", "__order")
+    return got.withColumn("__order", order).repartitionById(n, F.col("__at.shard").cast("int")).sortWithinPartitions(F.col("__at.shard"), "__order", "doc_id").drop("__at", "__order")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

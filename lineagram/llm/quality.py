@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineagram.llm.common import buffers, mix, pieces, rolling, utf8, word_hashes, word_spans
+from lineagram.llm.common import buffers, mix, pieces, rolling, utf8, word_hashes, word_spans, written
 
 CLASSES = ("space", "lower", "upper", "digit", "mark", "sign", "control", "two", "three", "four")
 _CLASS = np.full(256, 6, np.int64)
@@ -193,10 +193,10 @@ def _counts(docs: DataFrame, rules: Rules, wanted: dict[str, np.ndarray] | None)
 
 def learn(docs: DataFrame, rules: Rules = Rules()) -> References:
     """The languages' references, from all documents that pass the base rules."""
-    found = _counts(docs, rules, None)
+    found = written(_counts(docs, rules, None))  # read twice: texts are parsed once
     # counts that can't reach the share stay on the executors: at most 2 / common words a language come back
     total = found.where("h is null").select("lang", F.col("n").alias("all"))
-    kept = found.join(F.broadcast(total), "lang").where((F.col("h").isNull()) | (F.col("n") >= F.lit(rules.common / 2) * F.col("all")))
+    kept = found.join(total, "lang").where((F.col("h").isNull()) | (F.col("n") >= F.lit(rules.common / 2) * F.col("all")))
     rows = kept.collect()
     totals = {r.lang: r for r in rows if r.h is None}
     langs = sorted(a for a, r in totals.items() if r.n and r.n >= rules.min_lang)

@@ -35,3 +35,17 @@ def test_nothing_to_learn(spark):
     model = g.fit(docs)
     assert g.predict(docs, model).count() == 0
     assert g.predict(spark.createDataFrame([("abc",)], "text string"), model).first().lang_pred == "und"
+
+
+def test_one_text_in_most_rows_and_other_scripts(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [Row(text="ka lo mi tu ra", lang="aa")] * 3000
+    rows += [Row(text=text(rng, lang, 20), lang=lang) for lang in SYLLABLES for _ in range(80)]
+    tifinagh = "ⵜⴰⵎⴰⵣⵉⵖⵜ ⴰⵎⴰⵣⵉⵖ".split()
+    rows += [Row(text=" ".join(rng.choice(tifinagh, 12)) + " %d" % i, lang="zz") for i in range(80)]
+    monkeypatch.setattr(g, "SAMPLE", 10**6)
+    docs = spark.createDataFrame(rows)
+    assert len(g._sampled(docs, "lang", 10**6)) <= 3 * len(set(rows))
+    model = g.fit(docs)
+    got = g.predict(spark.createDataFrame([Row(text="ⴰⵎⴰⵣⵉⵖ ⵜⴰⵎⴰⵣⵉⵖⵜ ⴰⵎⴰⵣⵉⵖ"), Row(text="ka lo mi"), Row(text="ka lo mi")]), model).collect()
+    assert [r.lang_pred for r in got] == ["zz", "aa", "aa"] and got[1] == got[2]

@@ -48,3 +48,29 @@ def test_mix(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert m.assign(docs).count() == 0 and m.mix(docs).count() == 0
+
+
+def test_targets_equal_a_level():
+    """Targets are min(3 * size, weight * level) for the level at which they sum to all sizes; found here by bisection."""
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        sizes = [(None if i == 3 else "s%02d" % i, int(rng.integers(0, 10 ** int(rng.integers(1, 6))))) for i in range(int(rng.integers(1, 9)))]
+        order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+        total, lo, hi = sum(n for _, n in order), 0.0, 1e9
+        level = lambda x: {s: min(3 * n, (5, 2, 1)[i % 3] * x) for i, (s, n) in enumerate(order)}
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(level(mid).values()) < total else (lo, mid)
+        got, want = m.targets(sizes), level(hi)
+        assert all(abs(got[s] - want[s]) <= 1e-6 * max(total, 1) for s, _ in sizes)
+
+
+def test_a_shard_is_a_partition_and_blocks_grow(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('w ', 1 + cast(id % 7 as int)) as text", "if(id % 3 = 0, 'a', 'b') as source", "'x' as __block", "1 as __source")
+    mixed = m.mix(docs, 5)
+    assert mixed.columns == docs.columns and mixed.rdd.getNumPartitions() == 5
+    sizes = mixed.rdd.glom().map(len).collect()
+    assert min(sizes) > 0.5 * max(sizes)
+    quotas, draws = m.plan(docs.withColumn("x", m.F.lit(1)), 300)
+    blocks = draws.select("__source", "__block").distinct().count()
+    assert blocks > m.BLOCKS  # more shards, more blocks
