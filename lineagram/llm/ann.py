@@ -37,7 +37,7 @@ from lineagram.llm.common import partitions, written
 
 DEGREE, ROUNDS, SETTLED = 48, 8, 0.02
 SPLITS, BLOCK, SAMPLE = 4, 128, 512
-#: Groups of neighbours that are compared in one task.
+#: Groups of neighbours that are compared in one task, at most.
 LOT = 4096
 BEAM, WIDTH = 32, 16
 HALF = np.float16
@@ -168,7 +168,7 @@ def graph(points: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed: i
     state = written(_first_graph(points, n, degree, seed))
     units = points.select(F.col("node").alias("u"), "unit")
 
-    lots = -(-n // LOT)
+    lots = max(partitions(points.sparkSession), -(-n // LOT))
 
     def meet(groups: pa.Table, vectors: pa.Table) -> pa.Table:
         ids = vectors["u"].to_numpy()
