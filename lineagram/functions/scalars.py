@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 RELATION_ALIASES = {"spawned_by": "spawn", "acts_on": "write", "modifies": "write", "connects_to": "connect", "resolves": "resolve", "requests": "request", "invoked_by": "invoke"}
 SEVERITY_POINTS = {"low": 2.0, "medium": 6.0, "high": 8.0, "critical": 10.0}
 TRUE_WORDS = ("1", "true", "yes", "y", "on")
+BYTE_FIELDS = ("bytes", "size", "len", "nbytes", "byte_count", "total_bytes", "transfer_bytes", "sent_bytes", "recv_bytes", "write_bytes", "read_bytes")
 
 
 def normalize_text(c: Column) -> Column:
@@ -19,7 +20,9 @@ def normalize_text(c: Column) -> Column:
 
 
 def truthy(c: Column) -> Column:
-    return normalize_text(c).isin(*TRUE_WORDS)
+    """A word of yes, or a number that isn't zero."""
+    n = F.trim(c.cast("string")).try_cast("double")
+    return normalize_text(c).isin(*TRUE_WORDS) | F.coalesce(n != 0, F.lit(False))
 
 
 def to_nonneg_int(c: Column) -> Column:
@@ -29,7 +32,7 @@ def to_nonneg_int(c: Column) -> Column:
     return whole.try_cast("bigint")
 
 
-def extract_bytes(fields: dict[str, Column], others: list[str]) -> Column:
+def extract_bytes(fields: dict[str, Column], others: tuple[str, ...] | list[str] = BYTE_FIELDS) -> Column:
     """Sent plus received, else written plus read, else the first other field that holds a count."""
     get = lambda k: to_nonneg_int(fields[k]) if k in fields else F.lit(None).cast("bigint")
     return F.coalesce(get("sent_bytes") + get("recv_bytes"), get("write_bytes") + get("read_bytes"), *[get(k) for k in others])
@@ -50,9 +53,22 @@ def canonical_relation(c: Column) -> Column:
 
 
 def basename(c: Column) -> Column:
-    """Last part of a path with either slash, without quotes, in lower case; null if there is none."""
-    parts = F.filter(F.split(F.regexp_replace(F.trim(c), "[\"']", ""), "[/\\\\]+"), lambda x: x != "")
-    return F.lower(F.try_element_at(parts, F.lit(-1)))
+    """Last part of a path with either slash, without quotes around it, in lower case; empty if there is none."""
+    text = F.regexp_replace(F.trim(F.coalesce(c.cast("string"), F.lit(""))), "^[\"']+|[\"']+$", "")
+    flat = F.translate(text, "\\", "/")
+    parts = F.filter(F.split(flat, "/"), lambda x: x != "")
+    return F.lower(F.coalesce(F.try_element_at(parts, F.lit(-1)), flat))
+
+
+def first_text(*columns: Column) -> Column:
+    """The first column that holds text."""
+    return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in columns])
+
+
+def process_name(named: list[Column], command_lines: list[Column], images: list[Column]) -> Column:
+    """Basename of the first field with one: named fields, then a command line's first word, then images."""
+    words = [F.try_element_at(F.split(F.trim(c), r"\s+"), F.lit(1)) for c in command_lines]
+    return F.coalesce(*[F.nullif(basename(c), F.lit("")) for c in [*named, *words, *images]], F.lit(""))
 
 
 def entity_prefix(c: Column) -> Column:
@@ -95,12 +111,27 @@ def file_shape(c: Column) -> Column:
     return F.concat(F.lit("ext="), F.when(ext == "", "(none)").otherwise(ext), F.lit(";dir_level="), level, F.lit(";topdir="), top)
 
 
+def _ip6_net(value: Column) -> Column:
+    """The /64 of an IPv6 address in its shortest form; null for anything else."""
+    halves = F.split(value, "::")
+    groups = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
+    head, tail = groups(halves[0]), F.coalesce(groups(F.try_element_at(halves, F.lit(2))), F.array().cast("array<string>"))
+    known = F.size(head) + F.size(tail)
+    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - known, F.lit(0)))
+    whole = F.when(F.size(halves) == 1, head).otherwise(F.concat(head, zeros, tail))
+    plain = F.transform(F.slice(whole, 1, 4), lambda g: F.lower(F.regexp_replace(g, "^0+(?=.)", "")))
+    shown = F.regexp_replace(F.array_join(plain, ":"), "(^|:)0(:0)*$", "")
+    net = F.concat(shown, F.lit("::/64"))
+    fits = F.regexp_like(value, F.lit("^[0-9A-Fa-f:]+$")) & (F.size(halves) <= 2) & (F.size(whole) == 8) & F.forall(whole, lambda g: F.length(g) <= 4) & ((F.size(halves) == 2) | (known == 8)) & ~F.contains(value, F.lit(":::"))
+    return F.when(F.coalesce(fits & ((F.size(halves) == 1) | (known < 8)), F.lit(False)), net)
+
+
 def ip_shape(c: Column) -> Column:
-    """The /24 of an IPv4 address with or without a port, else invalid; ip6_shape() handles the rest."""
+    """The /24 of an IPv4 address with or without a port, the /64 of an IPv6 address, else invalid."""
     value = F.regexp_replace(F.trim(c), r"^([0-9.]+):[0-9]+$", "$1")
     octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
     ok = F.regexp_like(value, F.lit(rf"^{octet}(\.{octet}){{3}}$"))
-    return F.when(ok, F.concat(F.lit("subnet="), F.substring_index(value, ".", 3), F.lit(".0/24"))).otherwise(F.lit("subnet=invalid"))
+    return F.concat(F.lit("subnet="), F.coalesce(F.when(ok, F.concat(F.substring_index(value, ".", 3), F.lit(".0/24"))), _ip6_net(value), F.lit("invalid")))
 
 
 def registry_shape(c: Column) -> Column:
@@ -129,6 +160,28 @@ def stage_severity(c: Column) -> Column:
     return F.coalesce(named, F.when(n < 4, 2.0).when(n < 7, 6.0).when(n < 9, 8.0).when(n >= 9, 10.0), F.lit(2.0))
 
 
+def cvss(c: Column) -> Column:
+    """A label's points or the number itself; null and unknown labels are 0."""
+    label = normalize_text(c)
+    named = reduce(lambda acc, kv: acc.when(label == kv[0], kv[1]), SEVERITY_POINTS.items(), F.when(F.lit(False), F.lit(0.0)))
+    return F.coalesce(named, c.cast("string").try_cast("double"), F.lit(0.0))
+
+
+def field_values(value: Column, path: str) -> Column:
+    """Strings under a path of a JSON text: ``a.b`` steps into objects, ``a{}`` into all entries of an array; lists and objects are flattened."""
+    at = "$" + "".join(f"[{part[:-2]!r}][*]" if part.endswith("{}") else f"[{part!r}]" for part in path.split("."))
+    got = F.get_json_object(value, at)
+    return strings_of(got)
+
+
+def strings_of(text: Column) -> Column:
+    """The scalars of a JSON text as an array of strings, whatever its nesting; plain text is itself."""
+    nested = F.regexp_like(text, F.lit(r"^\s*[\[{]"))
+    pieces = F.regexp_extract_all(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"\s*:', ""), F.lit(r'"((?:[^"\\]|\\.)*)"|(-?[0-9][0-9.eE+-]*|true|false)'), F.lit(0))
+    clean = F.transform(pieces, lambda x: F.when(F.startswith(x, F.lit('"')), F.get_json_object(F.concat(F.lit('{"v":'), x, F.lit("}")), "$.v")).otherwise(x))
+    return F.when(text.isNull(), F.array().cast("array<string>")).when(nested, clean).otherwise(F.array(text))
+
+
 def attenuation(distance: Column) -> Column:
     return F.lit(1.0) / (1 + F.greatest(F.lit(0), distance))
 

@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineagram.functions.scalars import canonical_relation, entity, extract_bytes, parse_ts, truthy
+from lineagram.functions.scalars import BYTE_FIELDS, extract_bytes, parse_ts, truthy
 
 # Field names that inputs use.
 ID_FIELDS = ("event_id", "id", "uuid")
 TS_FIELDS = ("ts", "timestamp", "time")
 TYPE_FIELDS = ("event_type", "op", "type")
-BYTE_FIELDS = ("bytes", "bytes_transferred", "byte_count", "size", "length", "sent_bytes", "recv_bytes", "write_bytes", "read_bytes")
-EXEC_PROTECTION_FIELDS = ("prot", "protection", "a2", "flags")
-SYSCALLS = {"execve": "execute", "execveat": "execute", "fork": "spawn", "vfork": "spawn", "clone": "spawn", "connect": "connect", "accept": "accept", "accept4": "accept", "read": "read", "pread64": "read", "write": "write", "pwrite64": "write"}
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -46,70 +43,24 @@ def normalize(lines: DataFrame, seq: Column | None = None) -> DataFrame:
         F.coalesce(field(*TYPE_FIELDS), F.lit("unknown")).alias("event_type"),
         field("subject").alias("subject"),
         field("object").alias("object"),
-        extract_bytes(fields, list(BYTE_FIELDS)).alias("bytes"),
+        extract_bytes(fields).alias("bytes"),
         F.coalesce(truthy(field("subject_state_change")), F.lit(False)).alias("subject_state_change"),
         F.coalesce(truthy(field("object_state_change")), F.lit(False)).alias("object_state_change"),
         F.col("value").alias("raw"),
     )
 
 
-def prefilter(lines: DataFrame, benign: list[str], threats: list[str], column: str = "value") -> DataFrame:
-    """Drops lines that hold a benign marker and no threat keyword; case doesn't matter."""
+def prefilter(lines: DataFrame, benign: list[str], threats: list[str], column: str = "value", spared: tuple[str, ...] = ("com.bbn.tc.schema.avro", '"datum"')) -> DataFrame:
+    """Drops lines that hold a benign marker and neither a threat keyword nor a mark of DARPA records; case doesn't matter."""
     low = F.lower(column)
     has = lambda words: F.lit(False) if not words else F.regexp_like(low, F.lit("|".join(_literal(w.lower()) for w in words)))
-    return lines.where(~F.coalesce(has(benign) & ~has(threats), F.lit(False)))
+    return lines.where(~F.coalesce(has(benign) & ~has([*threats, *spared]), F.lit(False)))
 
 
 def _literal(word: str) -> str:
     return "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def dialect(of: str = "value") -> Column:
-    """Which adapter a raw record goes to; the first that fits."""
-    get = lambda p: F.get_json_object(of, p)
-    darpa = F.contains(of, F.lit("com.bbn.tc.schema.avro")) | get("$.datum").isNotNull()
-    auditd = (F.lower(get("$.logsource.service")) == "auditd") | get("$.syscall").isNotNull() | get("$.SYSCALL").isNotNull()
-    etw = get("$.EventID").isNotNull() | (F.lower(get("$.logsource.product")) == "windows")
-    no = lambda c: F.coalesce(c, F.lit(False))
-    return F.when(no(darpa), "darpa").when(no(auditd), "auditd").when(no(etw), "etw").otherwise("generic")
-
-
-def auditd_relations(lines: DataFrame) -> DataFrame:
-    """(subject, relation, object) of system calls; mapping or protecting memory counts if it makes it executable."""
-    call = F.lower(field("syscall", "SYSCALL"))
-    relation = F.lit(None).cast("string")
-    for name, rel in SYSCALLS.items():
-        relation = F.when(call == name, rel).otherwise(relation)
-    prot = F.contains(F.lower(F.concat_ws(" ", *[F.get_json_object("value", f"$.{n}") for n in EXEC_PROTECTION_FIELDS])), F.lit("prot_exec"))
-    relation = F.when(call.isin("mmap", "mmap2") & prot, "make_mem_exec").when(call.isin("mprotect", "pkey_mprotect") & prot, "protect_memory_exec").otherwise(relation)
-    subject = entity("proc_pid", F.concat(field("pid"), F.lit("@"), F.coalesce(field("ts", "timestamp"), F.lit("no-ts"))))
-    target = (
-        F.when(relation.isin("connect", "accept"), entity("ip", field("daddr", "addr", "saddr")))
-        .when(relation.isin("make_mem_exec", "protect_memory_exec"), entity("mem", F.concat_ws(":", field("pid"), F.coalesce(field("a0", "addr"), F.lit("0")))))
-        .when(relation == "spawn", entity("proc_pid", F.concat(field("child_pid", "exit"), F.lit("@"), F.coalesce(field("ts", "timestamp"), F.lit("no-ts")))))
-        .otherwise(entity("file", field("path", "name", "exe")))
-    )
-    return lines.select(subject.alias("subject"), canonical_relation(relation).alias("relation"), target.alias("object"), "value").where("relation != '' and object is not null")
-
-
-def etw_relations(lines: DataFrame) -> DataFrame:
-    """(subject, relation, object, integrity) of process, image, file, network and injection events."""
-    code = field("EventID").try_cast("int")
-    subject = entity("proc_guid", field("ProcessGuid", "SourceProcessGUID"))
-    relation = F.when(code == 1, "spawn").when(code == 7, "load").when(code == 11, "write").when(code == 3, "connect").when(code.isin(8, 10), "inject")
-    target = (
-        F.when(code.isin(8, 10), entity("proc_guid", field("TargetProcessGUID", "TargetProcessGuid")))
-        .when(code == 3, entity("ip", field("DestinationIp")))
-        .when(code == 7, entity("file", field("ImageLoaded")))
-        .when(code == 11, entity("file", field("TargetFilename")))
-        .otherwise(entity("proc_guid", field("ProcessGuid")))
-    )
-    low = F.lower(F.coalesce(field("IntegrityLevel"), F.lit("")))
-    integrity = F.when(F.contains(low, F.lit("system")), 4).when(F.contains(low, F.lit("high")), 3).when(F.contains(low, F.lit("medium")), 2).when(F.contains(low, F.lit("low")), 1)
-    parent = F.coalesce(entity("proc_guid", field("ParentProcessGuid")), subject)
-    return lines.select(F.when(code == 1, parent).otherwise(subject).alias("subject"), relation.alias("relation"), target.alias("object"), integrity.alias("integrity"), "value").where("relation is not null and subject is not null and object is not null")
-
-
 def as_of(events: DataFrame, definitions: DataFrame, key: str, value: str) -> DataFrame:
     """Adds to each event the newest definition of its key at or before it (both have seq): one window over their union, no range join."""
     from pyspark.sql import Window
@@ -118,7 +69,9 @@ def as_of(events: DataFrame, definitions: DataFrame, key: str, value: str) -> Da
     none = lambda c: F.lit(None).cast(events.schema[c].dataType).alias(c)
     left = events.select(*names, F.lit(None).cast(definitions.schema[value].dataType).alias("__v"), F.lit(1).alias("__e"))
     right = definitions.select(*[F.col(c) if c in (key, "seq") else none(c) for c in names], F.col(value).alias("__v"), F.lit(0).alias("__e"))
-    order = Window.partitionBy(key).orderBy("seq", "__e").rowsBetween(Window.unboundedPreceding, 0)
+    # events without a key have nothing to find: they are spread, not gathered in one task
+    group = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("seq"), F.lit(4096))))
+    order = Window.partitionBy(group).orderBy("seq", "__e").rowsBetween(Window.unboundedPreceding, 0)
     return left.union(right).withColumn(value, F.last("__v", ignorenulls=True).over(order)).where("__e = 1").select(*names, value)
 
 
