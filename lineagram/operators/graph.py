@@ -28,17 +28,25 @@ def flow(events: DataFrame) -> DataFrame:
 
 
 def touches(events: DataFrame) -> DataFrame:
-    """(host, seq, entity, bump): each entity an event touches, and whether it gets a new version."""
+    """(host, seq, entity, bump, src, dst): each entity an event touches, and whether it gets a new version.
+
+    What an operation changes, what the event's own flags say has changed, and whoever receives
+    information gets one; if nothing else is known, the object does."""
     op = F.lower("op")
-    process = F.startswith(F.col("subject"), F.lit("proc"))
-    subject = op.isin(*CHANGES_SUBJECT) | (op.isin(*CHANGES_PROCESS) & process) | (F.col("dst") == F.col("subject"))
-    object_ = op.isin(*CHANGES_OBJECT) | (F.col("dst") == F.col("object"))
-    sides = F.array(F.struct(F.col("subject").alias("entity"), subject.alias("bump")), F.struct(F.col("object").alias("entity"), object_.alias("bump")))
-    return flow(events).select("host", "seq", F.explode(sides).alias("t")).groupBy("host", "seq", "t.entity").agg(F.max(F.col("t.bump").cast("int")).alias("bump"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in events.columns else F.lit(False)
+    process = F.col("subject").rlike("^proc(_guid|_pid)?:")
+    subject = op.isin(*CHANGES_SUBJECT) | (op.isin(*CHANGES_PROCESS) & process) | flag("subject_state_change")
+    object_ = op.isin(*CHANGES_OBJECT) | flag("object_state_change")
+    got = flow(events.where("subject is not null and object is not null")).withColumns({"__s": subject, "__o": object_})
+    first = F.col("__s") | (F.col("dst") == F.col("subject"))
+    second = F.col("__o") | (F.col("dst") == F.col("object")) | ~(F.col("__s") | F.col("__o"))
+    end = lambda c, bump: F.struct(F.col(c).alias("entity"), bump.cast("int").alias("bump"))
+    sides = F.when(F.col("subject") == F.col("object"), F.array(end("subject", first | second))).otherwise(F.array(end("subject", first), end("object", second)))
+    return got.select("host", "seq", "src", "dst", F.explode(sides).alias("t")).select("host", "seq", "t.entity", "t.bump", "src", "dst")
 
 
 def versions(events: DataFrame) -> DataFrame:
-    """(host, seq, entity, bump, before, after): an entity's version before and after each event that touches it."""
+    """(host, seq, entity, bump, src, dst, before, after): an entity's version before and after each event that touches it."""
     earlier = Window.partitionBy("host", "entity").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     before = (1 + F.coalesce(F.sum("bump").over(earlier), F.lit(0))).cast("int")
     return touches(events).withColumn("before", before).withColumn("after", (F.col("before") + F.col("bump")).cast("int"))
@@ -52,14 +60,15 @@ def nodes(events: DataFrame) -> DataFrame:
 
 
 def edges(events: DataFrame) -> DataFrame:
-    """(host, seq, kind, src, src_version, dst, dst_version): flows and version transitions."""
-    v = versions(events)
-    moved = flow(events).select("host", "seq", "src", "dst")
-    at = lambda side, which, name: v.select("host", "seq", F.col("entity").alias(side), F.col(which).alias(name))
-    flows = moved.join(at("src", "before", "src_version"), ["host", "seq", "src"]).join(at("dst", "after", "dst_version"), ["host", "seq", "dst"])
-    flows = flows.select("host", "seq", F.lit("DATA_FLOW").alias("kind"), "src", "src_version", "dst", "dst_version")
-    steps = v.where("bump = 1").select("host", "seq", F.lit("VERSION_TRANSITION").alias("kind"), F.col("entity").alias("src"), F.col("before").alias("src_version"), F.col("entity").alias("dst"), F.col("after").alias("dst_version"))
-    return flows.union(steps)
+    """(host, seq, kind, src, src_version, dst, dst_version): flows and version transitions, from one pass over versions."""
+    at = lambda side, which: F.max(F.when(F.col("entity") == F.col(side), F.col(which)))
+    both = versions(events).groupBy("host", "seq", "src", "dst").agg(
+        at("src", "before").alias("src_version"), at("dst", "after").alias("dst_version"), F.collect_list(F.when(F.col("bump") == 1, F.struct("entity", "before", "after"))).alias("steps")
+    )
+    edge = lambda kind, src, v, dst, w: F.struct(F.lit(kind).alias("kind"), src.alias("src"), v.alias("src_version"), dst.alias("dst"), w.alias("dst_version"))
+    moved = F.array(edge("DATA_FLOW", F.col("src"), F.col("src_version"), F.col("dst"), F.col("dst_version")))
+    steps = F.transform("steps", lambda t: edge("VERSION_TRANSITION", t["entity"], t["before"], t["entity"], t["after"]))
+    return both.select("host", "seq", F.explode(F.concat(moved, steps)).alias("e")).select("host", "seq", "e.*")
 
 
 def violations(events: DataFrame) -> DataFrame:
@@ -86,6 +95,48 @@ def vma_versions(events: DataFrame) -> DataFrame:
     return events.withColumn("version", (F.sum(F.col("executable").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) + first_plain).cast("int"))
 
 
+def vma_edges(events: DataFrame) -> DataFrame:
+    """(host, seq, area, src_version, dst_version): an area's version before an operation that makes it executable, if it has one, and after."""
+    before = F.lag("version").over(Window.partitionBy("host", "area").orderBy("seq"))
+    got = vma_versions(events).withColumn("src_version", before)
+    return got.where("executable and src_version is not null").select("host", "seq", "area", "src_version", F.col("version").alias("dst_version"))
+
+
+def with_memory_versions(events: DataFrame) -> DataFrame:
+    """Events whose memory objects (mem:pid:address:n) carry the area's version as n, in their relations too."""
+    area = F.regexp_extract("object", "^(mem:[^:]*:[^:]*):", 1)
+    executable = F.exists("relations", lambda r: r["relation"].isin("make_mem_exec", "protect_memory_exec"))
+    marked = events.withColumns({"area": area, "executable": F.coalesce(executable, F.lit(False))})
+    memory = vma_versions(marked.where("area != ''")).withColumn("__new", F.concat("area", F.lit(":"), "version"))
+    moved = F.transform("relations", lambda r: F.struct(r["relation"].alias("relation"), r["src"].alias("src"), F.when(r["dst"] == F.col("object"), F.col("__new")).otherwise(r["dst"]).alias("dst")))
+    memory = memory.withColumns({"relations": moved}).withColumn("object", F.col("__new"))
+    return memory.select(*events.columns).unionByName(marked.where("coalesce(area, '') = ''").select(*events.columns))
+
+
+def semantic_edges(events: DataFrame) -> DataFrame:
+    """(host, seq, relation, src, src_version, dst, dst_version): relations between the versions that are current after their event.
+
+    events has ``relations``; a relation to an entity that no event up to then has touched is left out."""
+    said = events.select("host", "seq", F.posexplode("relations").alias("at", "r")).select("host", "seq", "at", "r.relation", "r.src", "r.dst")
+    ends = said.select("host", "seq", F.explode(F.array_distinct(F.array("src", "dst"))).alias("entity")).distinct().withColumn("key", F.concat_ws("\u0000", "host", "entity"))
+    from lineagram.sources.logs import as_of
+
+    known = as_of(ends, versions(events).select("seq", F.concat_ws("\u0000", "host", "entity").alias("key"), F.col("after").alias("version")), "key", "version").where("version is not null")
+    side = lambda c: known.select("host", "seq", F.col("entity").alias(c), F.col("version").alias(f"{c}_version"))
+    got = said.join(side("src"), ["host", "seq", "src"]).join(side("dst"), ["host", "seq", "dst"])
+    return got.select("host", "seq", "relation", "src", "src_version", "dst", "dst_version")
+
+
+def adjacency(events: DataFrame) -> DataFrame:
+    """(host, src, dst): entities that information flows between directly."""
+    return flow(events).where("src != dst").select("host", "src", "dst").distinct()
+
+
+def delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(change, ..): rows that came and rows that went between two states of a table, for whoever follows the graph."""
+    return after.exceptAll(before).withColumn("change", F.lit("added")).union(before.exceptAll(after).withColumn("change", F.lit("removed")))
+
+
 def lineage(events: DataFrame) -> DataFrame:
     """(host, parent, child) of forks between processes."""
     forks = events.where((F.lower("op").isin("fork", "proc_to_proc")) & F.startswith("subject", F.lit("proc")) & F.startswith("object", F.lit("proc")))
@@ -172,3 +223,50 @@ def prune_to(events: DataFrame, most: int) -> DataFrame:
     seen = events.select("host", "seq", F.explode(F.array("subject", "object")).alias("entity")).groupBy("host", "entity").agg(F.max("seq").alias("last_seq"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("last_seq"), "entity"))
     return seen.withColumn("place", rank).where(F.col("place") <= most).select("host", "entity", "last_seq")
+
+
+def prunable(events: DataFrame, keep_seconds: int, protected: DataFrame | None = None, most_nodes: int = 0, most_edges: int = 0, low: float = 1.0) -> DataFrame:
+    """(host, entity, version): version nodes of a host that go.
+
+    Those last seen so long before the host's newest event go.  If more nodes, or edges, than the caps are left, the
+    oldest go, too, until no more than the caps' ``low`` share is left.  The current version of an entity in
+    protected (host, entity), or a version that it names, stays.  Edges go with either end."""
+    made = versions(events.select("*", F.col("ts").alias("__ts"))).join(events.select("host", "seq", "ts"), ["host", "seq"])
+    # an entity's version is last seen when it is made or touched without a change
+    seen = made.select("host", "entity", F.explode(F.array_distinct(F.array("before", "after"))).alias("version"), "ts", "before").groupBy("host", "entity", "version").agg(F.max("ts").alias("seen"))
+    now, newest = Window.partitionBy("host"), Window.partitionBy("host", "entity")
+    seen = seen.withColumns({"now": F.max("seen").over(now), "current": F.col("version") == F.max("version").over(newest)})
+    if protected is not None:
+        kept = protected.select("host", "entity", (F.col("version") if "version" in protected.columns else F.lit(None).cast("int")).alias("__only")).distinct()
+        stays = seen.join(kept, ["host", "entity"]).where("coalesce(__only = version, current)").select("host", "entity", "version").distinct()
+        seen = seen.join(stays.withColumn("__kept", F.lit(True)), ["host", "entity", "version"], "left").withColumn("stays", F.coalesce("__kept", F.lit(False)))
+    else:
+        seen = seen.withColumn("stays", F.lit(False))
+    ends = edges(events)
+    ends = ends.select("host", F.explode(F.array_distinct(F.array(F.struct(F.col("src").alias("entity"), F.col("src_version").alias("version")), F.struct(F.col("dst").alias("entity"), F.col("dst_version").alias("version"))))).alias("n")).select("host", "n.*")
+    touched = ends.groupBy("host", "entity", "version").agg(F.count("*").alias("incident"))
+    total = edges(events).groupBy("host").agg(F.count("*").alias("edges"))
+    seen = seen.join(touched, ["host", "entity", "version"], "left").join(total, "host", "left").fillna({"incident": 0, "edges": 0})
+    stale = (F.unix_seconds(F.col("now").cast("timestamp")) - F.unix_seconds(F.col("seen").cast("timestamp")) >= keep_seconds) & ~F.col("stays")
+    seen = seen.withColumn("stale", stale).withColumns({"nodes": F.count("*").over(now), "n_stale": F.sum(F.col("stale").cast("long")).over(now), "e_stale": F.sum(F.when(F.col("stale"), F.col("incident")).otherwise(0)).over(now)})
+    # what else goes, the oldest first: as long as what is left before it is over a target
+    order = now.orderBy("seen", "entity", "version").rowsBetween(Window.unboundedPreceding, -1)
+    extra = ~F.col("stale") & ~F.col("stays")
+    gone_n = F.coalesce(F.sum(extra.cast("long")).over(order), F.lit(0)) + F.col("n_stale")
+    gone_e = F.coalesce(F.sum(F.when(extra, F.col("incident")).otherwise(0)).over(order), F.lit(0)) + F.col("e_stale")
+
+    def target(most: int, have: str) -> F.Column:
+        return F.when(F.col(have) > most, F.greatest(F.lit(1), F.ceil(F.lit(most * min(1.0, max(0.0, low)))))).otherwise(most)
+
+    over = F.lit(False)
+    if most_nodes > 0:
+        over = over | (F.col("nodes") - gone_n > target(most_nodes, "nodes"))
+    if most_edges > 0:
+        over = over | (F.col("edges") - gone_e > target(most_edges, "edges"))
+    return seen.withColumn("over", over).where(F.col("stale") | (extra & F.col("over"))).select("host", "entity", "version")
+
+
+def without(edges_: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges of which no end is among the nodes (host, entity, version) that went."""
+    side = lambda c: gone.select("host", F.col("entity").alias(c), F.col("version").alias(f"{c}_version"))
+    return edges_.join(side("src"), ["host", "src", "src_version"], "left_anti").join(side("dst"), ["host", "dst", "dst_version"], "left_anti")

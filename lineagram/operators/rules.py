@@ -1,8 +1,8 @@
 """Detection rules: checking, and compiling their conditions to column expressions.
 
 A condition is evaluated in whole-stage codegen; no row ever reaches Python.
-Unknown selectors and selectors that don't compile are false, invalid patterns are
-skipped, and a rule without any predicate matches every event.
+Unknown selectors and selectors that don't compile are false, patterns that the
+engine can't compile are skipped, and a rule without any predicate matches every event.
 """
 
 from __future__ import annotations
@@ -17,8 +17,18 @@ from pyspark.sql import functions as F
 
 from lineagram.functions.scalars import windash
 
-#: Stages of an intrusion, in order.
-STAGES = ("Initial Compromise", "Establish Foothold", "Privilege Escalation", "Internal Reconnaissance", "Move Laterally", "Complete Mission", "Cleanup Tracks")
+# Stages of an intrusion, in order; types that stand for entities; prefixes of bound entities.
+STAGES = ("Initial Compromise", "Establish Foothold", "Internal Recon", "Privilege Escalation", "Move Laterally", "Exfiltration", "Cleanup")
+DEFAULT_STAGE = 1
+SIMPLE_TYPES = ("process", "file", "ip", "registry", "artifact")
+BOUND_PREFIXES = {
+    "process": "proc", "file": "file", "registrykey": "reg", "registry": "reg", "ipaddress": "ip", "networkendpoint": "net", "artifact": "artifact", "dnsquery": "dns", "webrequest": "web",
+    "cloudapicall": "cloudapi", "cloudidentity": "cloudid", "application": "app", "useragent": "ua", "namedpipe": "pipe",
+}
+BOUND_TYPES = {"process": "process", "file": "file", "registrykey": "registry", "registry": "registry", "ipaddress": "ip"}
+PROCESS_SYMBOLS, TARGET_SYMBOLS = ("$current_process", "$source_process"), ("$target_file", "$current_file", "$target_registry_key", "$remote_ip")
+#: Rules that one number can tell apart.
+MOST_RULES = 8192
 
 
 @dataclass(frozen=True)
@@ -30,17 +40,24 @@ class Rule:
     cvss: float | None = None
     source_types: tuple[str, ...] = ()
     target_types: tuple[str, ...] = ()
-    event_predicate: str | None = None
+    event_predicate: dict | str | None = None
     match_logic: dict | None = None
     prerequisites: tuple[str, ...] = ()
     max_path_factor: int | None = None
     bypass_benign_filter: bool = False
     seeds_taint: bool = field(default=False)
+    prerequisite_ast: dict | None = None
+    entity_bindings: tuple[dict, ...] = ()
+    apt_stage: str | None = None
+    tactic: str | None = None
+    technique: str | None = None
 
 
 def check(rules: list[Rule]) -> list[Rule]:
     """Raises for rules that can't be used; gives them back otherwise."""
     seen: set[str] = set()
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     for r in rules:
         if not r.rule_id or r.rule_id in seen:
             raise ValueError(f"rule ids must be there and differ: {r.rule_id!r}")
@@ -53,8 +70,6 @@ def check(rules: list[Rule]) -> list[Rule]:
             raise ValueError(f"{r.rule_id}: one kind of predicate, not two")
         if r.max_path_factor is not None and (not isinstance(r.max_path_factor, int) or r.max_path_factor < 0):
             raise ValueError(f"{r.rule_id}: max_path_factor must be a whole number")
-        if r.prerequisites or r.max_path_factor is not None:
-            raise ValueError(f"{r.rule_id}: prerequisites and path factors aren't evaluated")
     return rules
 
 
@@ -80,7 +95,7 @@ def field_match(item: dict, lookup: Callable[[str], Column | None]) -> Column:
     clean = windash if "windash" in how else (lambda c: c)
     test: Callable[[Column, str], Column]
     if how & {"re", "regex"}:
-        wanted = [w for w in wanted if _compiles(w)]
+        wanted = [w for w in wanted if compiles(w)]
         test = lambda v, w: F.regexp_like(clean(v), F.lit(w))
     elif "contains" in how:
         test = lambda v, w: F.contains(clean(v), clean(F.lit(w)))
@@ -95,10 +110,14 @@ def field_match(item: dict, lookup: Callable[[str], Column | None]) -> Column:
     return F.coalesce(F.exists(values, lambda v: reduce(lambda a, b: a | b, [test(v, w) for w in wanted])), F.lit(False))
 
 
-def _compiles(pattern: str) -> bool:
+def compiles(pattern: str) -> bool:
+    """Whether the engine that will run a pattern takes it; without one, whether Python does."""
+    from pyspark import SparkContext
+
+    jvm = getattr(SparkContext._active_spark_context, "_jvm", None)
     try:
-        re.compile(pattern)
-    except re.error:
+        jvm.java.util.regex.Pattern.compile(pattern) if jvm else re.compile(pattern)
+    except Exception:  # noqa: BLE001  the gateway wraps what the pattern raises
         return False
     return True
 
@@ -133,11 +152,13 @@ def condition(node, selectors: dict[str, Column]) -> Column:
     return no
 
 
-def predicate(rule: Rule, lookup: Callable[[str], Column | None], op: Column, subject_type: Column | None = None, object_type: Column | None = None) -> Column:
+def predicate(rule: Rule, lookup: Callable[[str], Column | None], op: Column, subject_type: Column | None = None, object_type: Column | None = None, tokens: Column | None = None) -> Column:
     """Whether an event matches the rule."""
     out = F.lit(True)
-    if rule.event_predicate is not None:
-        out = op == rule.event_predicate
+    said = {"op": rule.event_predicate} if isinstance(rule.event_predicate, str) else rule.event_predicate
+    if said is not None:
+        kind = lookup("event_type") if "event_type" in said else None
+        out = op == said["op"] if "op" in said else (F.array_contains(kind, said["event_type"]) if kind is not None else op == said["event_type"])
     elif rule.match_logic is not None:
         logic = rule.match_logic
         if logic.get("engine", "sigma") != "sigma" or not logic.get("selectors") or not logic.get("condition"):
@@ -145,11 +166,62 @@ def predicate(rule: Rule, lookup: Callable[[str], Column | None], op: Column, su
         built = {name: selector(spec, lookup) for name, spec in logic["selectors"].items()}
         compiled = logic["condition"]
         out = condition(compiled.get("compiled", compiled) if isinstance(compiled, dict) else compiled, built)
-    if rule.source_types and subject_type is not None:
-        out = out & subject_type.isin(*rule.source_types)
-    if rule.target_types and object_type is not None:
-        out = out & object_type.isin(*rule.target_types)
-    return out
+    allowed = [t.lower() for t in rule.source_types]
+    if rule.target_types or (allowed and all("/" not in t and t in SIMPLE_TYPES for t in allowed)):
+        if allowed and subject_type is not None:
+            out = out & F.coalesce(subject_type.isin(*allowed), F.lit(False))
+        if rule.target_types and object_type is not None:
+            out = out & F.coalesce(object_type.isin(*[t.lower() for t in rule.target_types]), F.lit(False))
+    elif allowed and tokens is not None:
+        # events that say nothing about their source pass
+        out = out & (F.coalesce(F.size(tokens), F.lit(0)) <= 0) | (out & F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in allowed])))
+    return F.coalesce(out, F.lit(False))
+
+
+def _bound(rule: Rule, item: dict, lookup, subject_type: Column, object_type: Column) -> Column:
+    """(entity, raw): what one symbol stands for, and whether it comes from a raw field; entity is null if nothing does."""
+    symbol, kind = item.get("symbol"), str(item.get("entity_type") or "").lower()
+    ends = F.lit(None).cast("string")
+    if (kind == "process" and symbol in PROCESS_SYMBOLS) or (kind in BOUND_TYPES and kind != "process" and symbol in TARGET_SYMBOLS):
+        ends = F.when(subject_type == BOUND_TYPES[kind], F.col("subject")).when(object_type == BOUND_TYPES[kind], F.col("object"))
+    fields = [f for f in item.get("fields") or [] if isinstance(f, str)]
+    prefix = BOUND_PREFIXES.get(kind)
+    found = [F.nullif(F.trim(F.try_element_at(F.filter(v, lambda x: F.trim(x) != ""), F.lit(1))), F.lit("")) for v in map(lookup, fields) if v is not None] if prefix else []
+    raw = F.concat(F.lit(f"{prefix}:"), F.coalesce(*found)) if found else F.lit(None).cast("string")
+    return F.struct(F.lit(symbol).alias("symbol"), F.coalesce(ends, raw).alias("entity"), (ends.isNull() & raw.isNotNull()).alias("raw"))
+
+
+def bind(found, rules: list[Rule], lookup: Callable[[str], Column | None] | None = None, first_seen=None):
+    """(matches with ``bindings``, matches dropped with ``symbol`` and ``reason``).
+
+    Every match binds subject and object; a rule's symbols that start with ``$`` must stand for something.  An entity from
+    a raw field must have been seen before or in the event: first_seen has (host, entity, first_seq)."""
+    from lineagram.functions.scalars import entity_type
+
+    names = set(found.columns)
+    lookup = lookup or (lambda f: F.array_compact(F.array(F.col(f).cast("string"))) if f in names else None)
+    s, o = entity_type(F.col("subject")), entity_type(F.col("object"))
+    symbols = F.array().cast("array<struct<symbol:string,entity:string,raw:boolean>>")
+    for r in rules:
+        if items := [b for b in r.entity_bindings if isinstance(b.get("symbol"), str) and b["symbol"]]:
+            symbols = F.when(F.col("rule_id") == r.rule_id, F.array(*[_bound(r, b, lookup, s, o) for b in items])).otherwise(symbols)
+    got = found.withColumn("__symbols", symbols)
+    if first_seen is not None:
+        # only entities from raw fields are looked up
+        asked = got.select("host", "seq", F.explode("__symbols").alias("e")).where("e.raw").select("host", "seq", F.col("e.entity").alias("entity")).distinct()
+        known = asked.join(first_seen, ["host", "entity"]).where("first_seq <= seq").groupBy("host", "seq").agg(F.collect_set("entity").alias("__known"))
+        got = got.join(known, ["host", "seq"], "left")
+        missing = lambda e: e["raw"] & ~F.coalesce(F.array_contains("__known", e["entity"]), F.lit(False))
+    else:
+        missing = lambda e: F.lit(False)
+    bad = F.filter("__symbols", lambda e: F.startswith(e["symbol"], F.lit("$")) & (e["entity"].isNull() | missing(e)))
+    reason = F.when(bad[0]["entity"].isNull(), "binding_symbol_unresolved").otherwise("binding_entity_missing_in_graph")
+    ends = F.array(F.struct(F.lit("subject").alias("symbol"), F.col("subject").alias("entity")), F.struct(F.lit("object").alias("symbol"), F.col("object").alias("entity")))
+    pairs = F.filter(F.concat(ends, F.transform("__symbols", lambda e: F.struct(e["symbol"].alias("symbol"), e["entity"].alias("entity")))), lambda e: e["entity"].isNotNull())
+    got = got.withColumn("__bad", bad)
+    kept = got.where(F.size("__bad") == 0).select(*found.columns, F.map_from_entries(pairs).alias("bindings"))
+    dropped = got.where(F.size("__bad") > 0).select(*found.columns, F.col("__bad")[0]["symbol"].alias("symbol"), reason.alias("reason"))
+    return kept, dropped
 
 
 def matches(events, rules: list[Rule], lookup: Callable[[str], Column | None] | None = None):
@@ -159,16 +231,16 @@ def matches(events, rules: list[Rule], lookup: Callable[[str], Column | None] |
     names = set(events.columns)
     lookup = lookup or (lambda f: F.array_compact(F.array(F.col(f).cast("string"))) if f in names else None)
     tests = [
-        F.when(predicate(r, lookup, F.col("op"), entity_type(F.col("subject")), entity_type(F.col("object"))), F.struct(F.lit(i).alias("rule_order"), F.lit(r.rule_id).alias("rule_id")))
+        F.when(predicate(r, lookup, F.col("op"), entity_type(F.col("subject")), entity_type(F.col("object")), F.col("source_tokens") if "source_tokens" in names else None), F.struct(F.lit(i).alias("rule_order"), F.lit(r.rule_id).alias("rule_id")))
         for i, r in enumerate(check(rules))
     ]
     return events.withColumn("hit", F.explode(F.array_compact(F.array(*tests)))).select(*events.columns, "hit.rule_id", "hit.rule_order")
 
 
 def rule_table(spark, rules: list[Rule]):
-    """The rules as a dimension: id, stage, severity, cvss."""
-    rows = [(r.rule_id, r.stage, float(r.severity), float(r.cvss if r.cvss is not None else r.severity)) for r in rules]
-    return spark.createDataFrame(rows, "rule_id string, stage int, severity double, cvss double")
+    """The rules as a dimension: id, stage, severity, cvss (0 to 10), whether they bypass the benign profile."""
+    rows = [(r.rule_id, r.stage, float(r.severity), max(0.0, min(10.0, float(r.cvss if r.cvss is not None else r.severity))), r.bypass_benign_filter) for r in rules]
+    return spark.createDataFrame(rows, "rule_id string, stage int, severity double, cvss double, bypass boolean")
 
 
 def _item(name: str, value, *modifiers: str) -> dict:
@@ -181,29 +253,31 @@ def _selector(*items: dict) -> dict:
 
 #: Rules for the bridged events.
 DEMO_RULES = [
-    Rule("tmp_write", "Write to a temporary folder", 1, 6.0, match_logic={"selectors": {"s": _selector(_item("op", "write"), _item("object", "file:/tmp/", "startswith"))}, "condition": {"type": "selector_ref", "selector": "s"}}, seeds_taint=True),
-    Rule("odd_subnet", "Connection to a watched subnet", 2, 8.0, match_logic={"selectors": {"s": _selector(_item("op", "connect"), _item("object", [".3.", ".5."], "contains"))}, "condition": {"type": "selector_ref", "selector": "s"}}),
+    Rule("tmp_write", "Write to a temporary folder", 1, 6.0, 6.5, match_logic={"selectors": {"s": _selector(_item("op", "write"), _item("object", "file:/tmp/", "startswith"))}, "condition": {"type": "selector_ref", "selector": "s"}}, seeds_taint=True),
+    Rule("odd_subnet", "Connection to a watched subnet", 2, 8.0, 8.8, match_logic={"selectors": {"s": _selector(_item("op", "connect"), _item("object", [".3.", ".5."], "contains"))}, "condition": {"type": "selector_ref", "selector": "s"}}, prerequisites=("shared_entity",)),
     Rule(
-        "two_of_three", "Two of three weak signs", 4, 2.0,
+        "two_of_three", "Two of three weak signs", 4, 2.0, 3.1,
         match_logic={
             "selectors": {"a": _selector(_item("op", "read")), "b": _selector(_item("object", "5", "endswith")), "c": _selector(_item("subject", "^proc:u1", "re"))},
             "condition": {"type": "selector_group", "quantifier": "COUNT", "count": 2, "selectors": ["a", "b", "c"]},
         },
     ),
     Rule(
-        "run_key", "Change of a run key", 3, 10.0,
+        "run_key", "Change of a run key", 3, 10.0, 9.8,
         match_logic={
             "selectors": {"m": _selector(_item("op", "modify")), "known": _selector(_item("object", "7", "endswith"))},
             "condition": {"type": "logical", "operator": "AND", "operands": [{"type": "selector_ref", "selector": "m"}, {"type": "logical", "operator": "NOT", "operands": [{"type": "selector_ref", "selector": "known"}]}]},
         },
+        prerequisites=("shared_entity", "graph_path"), max_path_factor=3,
     ),
     Rule("fork", "New process", 5, 2.0, source_types=("process",), event_predicate="fork"),
 ]
 
 #: The same matches for a SQL engine, over ``prov``.
 MATCH_SQL = """
-  select p.*, r.rule_id, r.rule_order, r.stage, r.severity from prov p join (values
-    ('tmp_write', 0, 1, 6.0::double), ('odd_subnet', 1, 2, 8.0), ('two_of_three', 2, 4, 2.0), ('run_key', 3, 3, 10.0), ('fork', 4, 5, 2.0)) r(rule_id, rule_order, stage, severity)
+  select p.*, r.rule_id, r.rule_order, r.stage, r.severity, r.cvss, r.asks from prov p join (values
+    ('tmp_write', 0, 1, 6.0::double, 6.5::double, false), ('odd_subnet', 1, 2, 8.0, 8.8, true), ('two_of_three', 2, 4, 2.0, 3.1, false), ('run_key', 3, 3, 10.0, 9.8, true), ('fork', 4, 5, 2.0, 2.0, false))
+    r(rule_id, rule_order, stage, severity, cvss, asks)
   on case r.rule_id when 'tmp_write' then op = 'write' and starts_with(object, 'file:/tmp/')
     when 'odd_subnet' then op = 'connect' and (contains(object, '.3.') or contains(object, '.5.'))
     when 'two_of_three' then (op = 'read')::int + (suffix(object, '5'))::int + (starts_with(subject, 'proc:u1'))::int >= 2

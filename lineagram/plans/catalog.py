@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineagram.bridge import PROV_SQL, prov_events
 from lineagram.functions import scalars as fn
-from lineagram.operators import graph, hsg, noise, paths, state, windows
+from lineagram.operators import graph, hsg, links, noise, paths, state, windows
 from lineagram.operators.rules import DEMO_RULES, MATCH_SQL, matches, rule_table
 from lineagram.sources import logs
 
@@ -81,7 +81,10 @@ def entity_shapes(spark, sf_dir):
     return e.select("entity", fn.entity_shape(F.col("entity")).alias("shape"))
 
 
-@query("select page_id, lower(list_last(list_filter(string_split(replace(replace(trim(url), '\"', ''), '''', ''), '/'), lambda x: x <> ''))) as base from pages")
+@query(
+    """with u as (select page_id, replace(regexp_replace(trim(coalesce(url, '')), '^["'']+|["'']+$', '', 'g'), chr(92), '/') as t from pages)
+    select page_id, lower(coalesce(list_last(list_filter(string_split(t, '/'), lambda x: x <> '')), t)) as base from u"""
+)
 def basename_pages(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", fn.basename(F.col("url")).alias("base"))
 
@@ -175,8 +178,8 @@ def benign_profile_filter(spark, sf_dir):
 
 SHAPE_CASE = """case split_part({0}, ':', 1) when 'file' then 'ext=(none);dir_level=1;topdir=' || split_part({0}, '/', 2)
   when 'ip' then 'subnet=10.0.' || split_part({0}, '.', 3) || '.0/24' when 'reg' then 'hive=HKLM;key=run' || chr(92) || split_part({0}, '/', 3) else 'name=' || substr({0}, 6) end"""
-SIGNED_SQL = f"""{WITH_MATCH}, shaped as (select *, {SHAPE_CASE.format("subject")} as a, {SHAPE_CASE.format("object")} as b from matched)
-  , signed as (select *, rule_id || '|' || op || '|' || case when a = b then a when a < b then a || '+' || b else b || '+' || a end as signature from shaped)
+SIGNED_SQL = f"""{WITH_MATCH}, shaped as (select *, {SHAPE_CASE.format("subject")} as a, {SHAPE_CASE.format("object")} as b, split_part(object, ':', 1) as kind from matched)
+  , signed as (select *, rule_id || '|' || stage || '|' || op || '|object/' || case kind when 'proc' then 'process' when 'reg' then 'registry' else kind end || '/' || b || '+subject/process/' || a as signature from shaped)
   , model as (select rule_id, signature, cast(count(*) as bigint) as n, cast(sum(count(*)) over (partition by rule_id) as bigint) as total from signed group by rule_id, signature)
   , vol as (select rule_id, cast(count(*) as bigint) as samples, quantile_disc(bytes, 0.5)::double as p50, quantile_disc(bytes, 0.95)::double as p95, quantile_disc(bytes, 0.99)::double as p99, max(bytes)::double as most from matched group by 1 having count(*) >= 20)
 """
@@ -198,20 +201,32 @@ def benign_drop(spark, sf_dir):
     return noise.benign(m, noise.signatures(m), noise.volumes(m), 3, 0.05).select("seq", "rule_id")
 
 
-RUNNING_SQL = f"""{WITH_MATCH}, running as (select *, sum(bytes) over (partition by host, rule_id, subject, object order by seq)::bigint as so_far from matched)
-  , limits as (select rule_id, cast(max(so_far) + greatest(1, ceil(max(so_far) * 0.25)) as bigint) as threshold from running where seq % 2 = 0 group by 1)"""
-
-
 @query(f"{WITH_MATCH}, running as (select *, sum(bytes) over (partition by host, rule_id, subject, object order by seq)::bigint as so_far from matched) select rule_id, cast(max(so_far) + greatest(1, ceil(max(so_far) * 0.25)) as bigint) as threshold from running group by 1")
 def dynamic_threshold_train(spark, sf_dir):
     return noise.thresholds(_matches(spark, sf_dir))
 
 
-@query(f"{WITH_MATCH}, running as (select *, sum(bytes) over (partition by host, rule_id, subject, object order by seq)::bigint as so_far from matched), p as (select rule_id, quantile_disc(bytes, 0.95) as threshold from matched group by 1) select seq, rule_id, so_far from running join p using (rule_id) where so_far > threshold")
+LIMIT_SQL = f"""{WITH_MATCH}, good as (select * from matched where bytes > 0)
+  , learnt as (select rule_id, subject, object, cast(count(*) as bigint) as samples, cast(sum(bytes) as bigint) as largest from good where seq % 2 = 0 group by all
+      union all select rule_id, null, null, count(*), cast(sum(bytes) as bigint) from good where seq % 2 = 0 group by 1)
+  , limits as (select *, cast(largest + greatest(1, ceil(largest * 0.25)) as bigint) as threshold from learnt)"""
+
+
+@query(f"{LIMIT_SQL} select rule_id, subject, object, samples, largest, threshold from limits")
+def dynamic_limits(spark, sf_dir):
+    return noise.dynamic_thresholds(_matches(spark, sf_dir).where("seq % 2 = 0"))
+
+
+@query(
+    f"""{LIMIT_SQL}, j as (select m.*, p.threshold as pl, r.threshold as rl from matched m left join limits p on p.rule_id = m.rule_id and p.subject = m.subject and p.object = m.object
+      left join limits r on r.rule_id = m.rule_id and r.subject is null)
+    , s as (select *, case when pl is not null then sum(case when bytes > 0 then bytes end) over (partition by rule_id, subject, object order by seq) else sum(case when bytes > 0 and pl is null then bytes end) over (partition by rule_id, pl is null order by seq, match_key) end as so_far
+      from (select *, rule_id || seq as match_key from j))
+    select seq, rule_id, cast(coalesce(bytes > 0 and so_far <= coalesce(pl, rl), false) as boolean) as dropped from s"""
+)
 def dynamic_threshold_filter(spark, sf_dir):
     m = _matches(spark, sf_dir)
-    limits = m.groupBy("rule_id").agg(F.expr("percentile_disc(0.95) within group (order by bytes)").alias("threshold"))
-    return noise.over_threshold(m, limits).select("seq", "rule_id", "so_far")
+    return noise.dynamic_filter(m, noise.dynamic_thresholds(m.where("seq % 2 = 0"))).select("seq", "rule_id", "dropped")
 
 
 # ---- versioned graph
@@ -233,7 +248,11 @@ def version_edges(spark, sf_dir):
     return graph.edges(prov_events(spark, sf_dir))
 
 
-@query(f"{WITH_PROV} {EDGE_SQL} select cast(count(*) as bigint) as edges, cast(0 as bigint) as backward from edge")
+@query(
+    f"""{WITH_PROV} {EDGE_SQL}, made as (select host, entity, 1 as version, min(seq) as at from stepped group by host, entity union all select host, entity, after, seq from stepped where bump = 1)
+    select cast(count(*) as bigint) as edges, cast(sum((a.at > b.at or (e.src = e.dst and e.src_version >= e.dst_version))::int) as bigint) as backward from edge e
+    join made a on a.host = e.host and a.entity = e.src and a.version = e.src_version join made b on b.host = e.host and b.entity = e.dst and b.version = e.dst_version"""
+)
 def dag_check(spark, sf_dir):
     return graph.violations(prov_events(spark, sf_dir))
 
@@ -267,7 +286,11 @@ def process_ancestors(spark, sf_dir):
     return graph.ancestors(prov_events(spark, sf_dir))
 
 
-@query()
+REACH_SQL = f"""{EDGE_SQL}, last as (select host, entity, max(after) as version from stepped group by all)
+  , up as (select host, entity as dst, entity, version from last union select u.host, u.dst, e.src, e.src_version from up u join edge e on e.host = u.host and e.dst = u.entity and e.dst_version = u.version)"""
+
+
+@query(f"{WITH_PROV} {REACH_SQL} select host, dst, entity as src, cast(max(version) as int) as src_version from up where dst <> entity group by all")
 def entity_reach(spark, sf_dir):
     return graph.entity_reach(prov_events(spark, sf_dir))
 
@@ -285,11 +308,15 @@ def cap_prune(spark, sf_dir):
 # ---- state
 
 
-@query()
+@query(
+    f"""{WITH_MATCH}, passed as (select host, seq, case when op = 'read' then object else subject end as src, case when op = 'read' then subject else object end as dst from prov)
+    , tainted as (select host, subject as entity, seq from matched where rule_id = 'tmp_write' union select host, object, seq from matched where rule_id = 'tmp_write'
+      union select p.host, p.dst, p.seq from tainted t join passed p on p.host = t.host and p.src = t.entity and p.seq > t.seq)
+    select host, entity, min(seq) as tainted_seq from tainted group by all"""
+)
 def taint_spread(spark, sf_dir):
     events = prov_events(spark, sf_dir)
-    seeds = matches(events, DEMO_RULES).where("rule_id = 'tmp_write'").select("host", "seq", F.col("subject").alias("entity"))
-    return state.taint(events, seeds)
+    return state.taint(events, state.seeds(matches(events, DEMO_RULES), DEMO_RULES[:1]))
 
 
 @query(f"{WITH_PROV} select seq, cast(max(case when bytes < 2000 then 1 when bytes < 5000 then 2 when bytes < 9000 then 3 else 4 end) over (partition by host, subject order by seq) as int) as privilege from prov")
@@ -316,31 +343,52 @@ def pending_ttl(spark, sf_dir):
 
 # ---- scenarios
 
-LINK_SQL = f"""{WITH_MATCH}, n as (select *, seq * 64 + rule_order as node from matched)
-  , held as (select host, node, 'subject' as role, subject as entity from n union all select host, node, 'object', object from n)
-  , link as (select host, lag(node) over w as a, node as b, role, entity from held window w as (partition by host, role, entity order by node))
-  , kept as (select cast(a as bigint) as a, cast(b as bigint) as b, host, role, entity from link where a is not null)"""
+LINK_SQL = f"""{WITH_MATCH}, n as (select *, seq * 8192 + rule_order as node from matched)
+  , held as (select host, node, rule_id, asks, 'subject' as role, subject as entity from n union all select host, node, rule_id, asks, 'object', object from n)
+  , hub as (select host, role, entity, min(node) as hub from held where asks group by all)
+  , star as (select distinct least(hub, node) as a, greatest(hub, node) as b from held join hub using (host, role, entity) where hub <> node)
+  , way as (select a as x, b as y from star union all select b, a from star)
+  , meet as (select node as x, node as y from n union select m.x, w.y from meet m join way w on w.x = m.y)
+  , scenario as (select x as node, min(y) as scenario from meet group by 1)"""
 
 
-@query(f"{LINK_SQL} select host, a, b, role, entity from kept")
+@query(
+    f"""{LINK_SQL}, by_rule as (select host, role, entity, rule_id, asks, count(*) as n from held group by all)
+    select a.host, a.role, a.entity, a.rule_id as rule_a, b.rule_id as rule_b, cast(case when a.rule_id = b.rule_id then a.n * (a.n - 1) // 2 else a.n * b.n end as bigint) as links
+    from by_rule a join by_rule b on a.host = b.host and a.role = b.role and a.entity = b.entity and a.rule_id <= b.rule_id and (a.asks or b.asks) where not (a.rule_id = b.rule_id and a.n = 1)"""
+)
 def shared_entity_edges(spark, sf_dir):
-    return hsg.shared_entity_links(_matches(spark, sf_dir))
+    return links.shared_entity_edges(_matches(spark, sf_dir), DEMO_RULES)
 
 
-def _scenarios(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _matches(spark, sf_dir)
-    return hsg.scenarios(found, hsg.star_links(found)), hsg.shared_entity_links(found)
+    return hsg.scenarios(found, links.star_links(found, DEMO_RULES))
 
 
-@query()
+@query(f"{LINK_SQL} select 'm' || seq || '-' || rule_id as match_id, cast(scenario as bigint) as scenario from n join scenario using (node)")
 def hsg_components(spark, sf_dir):
-    return _scenarios(spark, sf_dir)[0].select("match_id", "scenario")
+    return _scenarios(spark, sf_dir).select("match_id", "scenario")
 
 
-@query()
+LEGACY_SQL = f"""{LINK_SQL}, m as (select * from n join scenario using (node))
+  , pair as (select a.scenario, count(*) as edges from m a join m b on a.host = b.host and a.node < b.node and (a.asks or b.asks) and (a.subject = b.subject or a.object = b.object) group by 1)
+  , score as (select cast(scenario as bigint) as scenario, cast(count(*) as bigint) as nodes, cast(coalesce(max(edges), 0) as bigint) as edges, sum(severity) as severity_sum from m left join pair using (scenario) group by 1)"""
+
+
+@query(f"{LEGACY_SQL} select scenario, nodes, edges, nodes + 0.5 * edges as structure, severity_sum, severity_sum as weighted, 1.0::double as connectivity, 1.0::double as multiplier from score")
 def scenario_legacy(spark, sf_dir):
-    s, links = _scenarios(spark, sf_dir)
-    return hsg.legacy_scores(s, links)
+    return hsg.legacy_scores(_scenarios(spark, sf_dir), DEMO_RULES)
+
+
+@query(
+    f"""{LEGACY_SQL}, two as (select cast(scenario as varchar) as scenario, severity_sum as score, nodes, edges from score where nodes > 60 order by score desc, nodes desc, edges desc, 1 limit 60)
+    , filled as (select *, 0 as f from two union all select null, 0.0, 0, 0, 1 from range(60))
+    select cast(row_number() over (order by f, score desc, nodes desc, edges desc, scenario) as int) as place, scenario, score, nodes, edges from filled qualify place <= 60"""
+)
+def top_scenarios_filled(spark, sf_dir):
+    scores = hsg.legacy_scores(_scenarios(spark, sf_dir), DEMO_RULES).withColumn("scenario", F.col("scenario").cast("string")).where("nodes > 60")
+    return hsg.top(scores, "weighted", 60)
 
 
 # what follows scores hosts as scenarios, so that SQL needs no graph search
@@ -350,28 +398,29 @@ def _by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir).withColumn("scenario", F.col("host"))
 
 
-STAGE_SQL = f"{WITH_MATCH}, t as (select host as scenario, " + ", ".join(f"max(case when stage = {i} then severity end) as s{i}" for i in range(1, 8)) + " from matched group by 1)"
+STAGE_SQL = f"{WITH_MATCH}, t as (select host as scenario, " + ", ".join(f"max(case when stage = {i} then cvss end) as s{i}" for i in range(1, 8)) + " from matched group by 1)"
+POINTS_SQL = "case when {0} is null then 1.0 when {0} < 4 then 2.0 when {0} < 7 then 6.0 when {0} < 9 then 8.0 else 10.0 end"
 
 
 @query(f"{STAGE_SQL} select * from t")
 def threat_tuple(spark, sf_dir):
-    return hsg.stage_severity(_by_host(spark, sf_dir))
+    return hsg.threat_tuple(_by_host(spark, sf_dir))
 
 
-@query(f"{STAGE_SQL} select scenario, round(exp(" + " + ".join(f"ln(1 + coalesce(s{i}, 0) / 10)" for i in range(1, 8)) + "), 6) as paper_score from t")
+@query(f"{STAGE_SQL} select scenario, round(exp(" + " + ".join(f"ln(1 + greatest(0, least(10, coalesce(s{i}, 0))) / 10)" for i in range(1, 8)) + "), 6) as paper_score from t")
 def scenario_paper(spark, sf_dir):
     return hsg.paper_scores(_by_host(spark, sf_dir))
 
 
-@query(f"{STAGE_SQL} select scenario, round(exp(" + " + ".join(f"ln(coalesce(s{i}, 1))" for i in range(1, 8)) + "), 6) as exact_score from t")
+@query(f"{STAGE_SQL} select scenario, round(exp(" + " + ".join(f"ln({POINTS_SQL.format(f's{i}')})" for i in range(1, 8)) + "), 6) as exact_score from t")
 def scenario_exact(spark, sf_dir):
     return hsg.exact_scores(_by_host(spark, sf_dir))
 
 
 @query(
-    f"{WITH_MATCH}, r as (select host, seq, seq * 64 + rule_order as node, round(exp("
-    + " + ".join(f"ln(coalesce(max(case when stage = {i} then severity end) over w, 1))" for i in range(1, 8))
-    + "), 6) as score from matched window w as (partition by host order by seq * 64 + rule_order)) select host as scenario, min(seq) as detect_seq, arg_min(score, node) as score from r where score >= 480 group by 1"
+    f"{WITH_MATCH}, r as (select host, seq, seq * 8192 + rule_order as node, round(exp("
+    + " + ".join(f"ln({POINTS_SQL.format(f'max(case when stage = {i} then cvss end) over w')})" for i in range(1, 8))
+    + "), 6) as score from matched window w as (partition by host order by seq * 8192 + rule_order)) select host as scenario, min(seq) as detect_seq, arg_min(score, node) as score from r where score >= 480 group by 1"
 )
 def exact_first_detection(spark, sf_dir):
     return hsg.first_detection(_by_host(spark, sf_dir), 480.0)
@@ -383,10 +432,12 @@ def top_k_scenarios(spark, sf_dir):
     return got.orderBy(F.desc("total"), F.desc("n"), "scenario").limit(3)
 
 
-ALERT_SQL = f"""{WITH_MATCH}, n as (select *, seq * 64 + rule_order as node from matched)
-  , a as (select host as scenario, seq, node, sum(severity) over w as total, cast(len(list_distinct(list(stage) over w)) as bigint) as stages from n window w as (partition by host order by node))
-  , b as (select *, lag(floor(total / 10)) over (partition by scenario order by node) as band_before, lag(stages) over (partition by scenario order by node) as stages_before from a)
-  , raised as (select scenario, seq, cast(node as bigint) as node, total, stages from b where band_before is null or floor(total / 10) > band_before or stages > stages_before)"""
+ALERT_SQL = f"""{WITH_MATCH}, n as (select *, seq * 8192 + rule_order as node from matched)
+  , a as (select host as scenario, seq, cast(node as bigint) as node, sum(severity) over w as total, cast(len(list_distinct(list(stage) over w)) as bigint) as stages, row_number() over w as i from n window w as (partition by host order by node))
+  , walk as (select scenario, 0 as i, cast(null as double) as last, cast(0 as bigint) as told, false as fired from a group by 1
+      union all select w.scenario, w.i + 1, case when f then a.total else w.last end, case when f then a.stages else w.told end, f from walk w join a on a.scenario = w.scenario and a.i = w.i + 1
+        cross join lateral (select a.total >= 80 and (w.last is null or a.total - w.last >= 10 or a.stages > w.told) as f))
+  , raised as (select a.scenario, a.seq, a.node, a.total, a.stages from walk w join a on a.scenario = w.scenario and a.i = w.i where w.fired)"""
 
 
 @query(f"{ALERT_SQL} select * from raised")
