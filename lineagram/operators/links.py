@@ -88,7 +88,7 @@ def candidates(matches: DataFrame, rules: list[Rule], kind: str = "graph_path",
     one = F.struct("rule_id", "subject", "object", "n", "first")
     held = c.select("host", one.alias("c"), F.explode(F.array_distinct(F.array_compact(F.array("subject", "object")))).alias("entity"))
     before = Window.partitionBy("host", "entity").orderBy("c.first", "c.rule_id", "c.subject", "c.object").rowsBetween(-most, -1)
-    met = held.withColumn("left", F.explode(F.collect_list("c").over(before))).select("host", "left", F.col("c").alias("right"), "entity")
+    met = held.withColumn("lefts", F.collect_list("c").over(before)).withColumn("left", F.explode("lefts")).select("host", "left", F.col("c").alias("right"), "entity")
     met = met.groupBy("host", "left", "right").agg(F.count_distinct("entity").alias("common"))
     met = met.join(table, (F.col("left.rule_id") == F.col("rule_left")) & (F.col("right.rule_id") == F.col("rule_right")), "inner").drop("rule_left", "rule_right")
     rank = F.row_number().over(Window.partitionBy("host", "right").orderBy(F.desc("common"), "left.first", "left.rule_id", "left.subject", "left.object"))

@@ -56,9 +56,13 @@ def seeds(matches: DataFrame, rules: list) -> DataFrame:
     first = [r for r in rules if r.apt_stage == "Initial Compromise" or (r.stage or 0) in (0, 1)]
     bindings = F.col("bindings") if "bindings" in matches.columns else F.create_map(F.lit("subject"), F.col("subject"), F.lit("object"), F.col("object"))
     kept = bindings
+
+    def named(symbols: list[str]):
+        return lambda k, v: k.isin(*symbols)
+
     for r in first:
         if own := sorted({b["symbol"] for b in r.entity_bindings if isinstance(b.get("symbol"), str)}):
-            kept = F.when(F.col("rule_id") == r.rule_id, F.map_filter(bindings, lambda k, v, own=own: k.isin(*own))).otherwise(kept)
+            kept = F.when(F.col("rule_id") == r.rule_id, F.map_filter(bindings, named(own))).otherwise(kept)
     return matches.where(F.col("rule_id").isin(*[r.rule_id for r in first])).select("host", "seq", F.explode(F.array_distinct(F.map_values(kept))).alias("entity")).where("entity is not null")
 
 

@@ -48,16 +48,62 @@ def test_translate_and_lint():
 
 
 def test_evaluation(spark):
-    alerts = spark.createDataFrame([("a", 9.0, ["x", "y"]), ("b", 8.0, ["x", "y"]), ("c", 7.0, ["q"])], "alert_id string, score double, entities array<string>")
-    truth = spark.createDataFrame([("s", ["y", "z"]), ("t", ["w"])], "scenario_id string, entities array<string>")
+    alerts = spark.createDataFrame([("a", 9.0, ["s1", "s2"], ["x", "y"]), ("b", 8.0, ["s1"], ["x", "y"]), ("c", 7.0, [], ["q"]), ("d", 6.0, ["s3"], ["file:/w/1"]), ("e", 5.0, ["s3"], ["file:/v/1"])], "alert_id string, score double, stages array<string>, entities array<string>")
+    truth = spark.createDataFrame([("s", ["s1", "s2"], ["y"], []), ("t", [], ["w"], []), ("u", ["s3"], ["none"], ["/w/"])], "scenario_id string, stages array<string>, exact array<string>, contains array<string>")
     r = e.coverage(alerts, truth).first()
-    assert (round(r.precision, 4), r.recall, r.fragmentation) == (0.6667, 0.5, 2.0)
+    assert (r.tp, r.fp, r.fn) == (1, 4, 2) and (round(r.precision, 4), round(r.recall, 4), round(r.f1, 4), round(r.fragmentation, 4)) == (0.2, 0.3333, 0.25, 0.3333)
     assert [x.alert_id for x in e.diverse(alerts, 2)] == ["a", "c"]
-    events = spark.createDataFrame([(i, 1 + i % 3, 8.0) for i in range(10)], "seq long, stage int, severity double")
-    windows = spark.createDataFrame([("one", 0, 4, [1, 3, 4]), ("two", 5, 5, [5])], "campaign string, first long, last long, stage_ends array<long>")
-    assert {tuple(x) for x in e.campaigns(events, windows, 64.0).collect()} == {("one", 1, 1), ("two", None, None)}
+    events = spark.createDataFrame([(i, 1 + i % 3, 8.0) for i in range(10)], "seq long, stage int, severity double").repartition(3)
+    windows = spark.createDataFrame([("one", 0, 4, [1, 3, 4]), ("two", 5, 5, [5]), ("three", 6, 9, None)], "campaign string, first long, last long, stage_ends array<long>")
+    assert {tuple(x) for x in e.campaigns(events, windows, 64.0).collect()} == {("one", 1, 1, 1), ("two", None, 8, None), ("three", 7, None, 1)}
+    table = e.grid([2, 3], [50.0], lambda m, t: {"f1": 1.0 if m == 3 else 0.5, "recall": 1.0, "fragmentation": 0.0})
+    assert table[0]["max_path_factor"] == 3
+    done = e.experiment(lambda: "model", lambda m, a, b: {"f1": a, "recall": 0, "fragmentation": 0}, lambda m, a, b: (m, a, b), [2, 4], [80.0])
+    assert done["result"] == ("model", 4, 80.0)
+    assert e.throughput(lambda df: df.where("seq > 3"), events, 1)["events"] == 10
 
 
 def test_vertex_cut(spark):
-    rows = [(1, "s", "t", a, b) for a, b in (("s", "a"), ("s", "b"), ("a", "c"), ("b", "c"), ("c", "t"), ("s", "d"), ("d", "t"))] + [(2, "s", "t", "s", "t")]
-    assert {tuple(r) for r in e.min_vertex_cut(spark.createDataFrame(rows, "pair long, source string, sink string, src string, dst string")).collect()} == {(1, 2), (2, -1)}
+    rows = [(1, "s", "t", a, b) for a, b in (("s", "a"), ("s", "b"), ("a", "c"), ("b", "c"), ("c", "t"), ("s", "d"), ("d", "t"))] + [(2, "s", "t", "s", "t"), (3, "s", "t", "t", "s"), (4, "A", "B", "A", "X"), (4, "A", "B", "X", "B"), (5, "A", "B", "A", "X"), (5, "A", "B", "X", "B"), (5, "A", "B", "A", "Y"), (5, "A", "B", "Y", "B")]
+    cuts = e.min_vertex_cut(spark.createDataFrame(rows, "pair long, source string, sink string, src string, dst string"))
+    assert {tuple(r) for r in cuts.collect()} == {(1, 2), (2, 0), (3, None), (4, 1), (5, 2)}
+    from lineagram.operators.paths import legacy_factor
+
+    assert {r.pair: r.f for r in cuts.select("pair", legacy_factor(e.F.col("cut")).alias("f")).collect()} == {1: 1 / 3, 2: 0.5, 3: None, 4: 0.5, 5: 1 / 3}
+
+
+def test_base64_and_aggregation(spark):
+    import base64
+
+    rows = [(i, "x" * i + base64.b64encode(b"ab"[: i % 3] + b"FromBase64String" + b"zz").decode(), f"2024-01-01 00:{i:02d}:00", 10.0 * i) for i in range(6)] + [(9, "nothing", "2024-01-01 00:01:00", 1.0)]
+    df = spark.createDataFrame(rows, "n int, c string, t string, size double").selectExpr("n", "c", "cast(t as timestamp) as ts", "size", "n % 2 as k")
+    found = sigma.detect(df, {"s": {"c|base64offset|contains": "FromBase64String"}, "condition": "s"})
+    assert {r.n for r in found.collect()} == set(range(6))
+    assert sigma.encoded("ab", False, True) == [base64.b64encode("ab".encode("utf-16-le")).decode()]
+    agg = {"s": {"c|contains": "x"}, "timeframe": "1h", "condition": "s | sum(size) by k > 40"}
+    assert [(r.k, r.value) for r in sigma.aggregate(df, agg).collect()] == [(1, 90.0), (0, 60.0)] or {(r.k, r.value) for r in sigma.aggregate(df, agg).collect()} == {(1, 90.0), (0, 60.0)}
+    assert {(r.k, r.value) for r in sigma.aggregate(df, agg | {"condition": "s | count(n) by k >= 2"}).collect()} == {(0, 2), (1, 3)}
+    assert {(r.k, r.value) for r in sigma.aggregate(df, agg | {"condition": "s | count() by k > 2"}).collect()} == {(1, 3)}
+    with pytest.raises(ValueError):
+        sigma.timeframe("soon")
+
+
+def test_graph_rules():
+    from lineagram.operators.ruleset import build
+
+    rule = RULE | {"logsource": {"product": "windows", "category": "process_creation"}, "tags": ["attack.privilege-escalation", "attack.t1"]}
+    got = sigma.to_graph_rule(rule)
+    assert got["match_logic"]["relation"] == "EXECUTE" and got["match_logic"]["object"]["type"] == "Process" and got["apt_stage"] == "Privilege Escalation"
+    assert "User" not in got["match_logic"]["object"]["attributes"] and got["prerequisites"]["predicates"][0]["source_stage"] == "Internal Recon"
+    assert sigma.check_graph_rule(got) == []
+    broken = {"match_logic": {"relation": "SPAWN", "subject": {"type": "File", "attributes": {"CommandLine": "x y z"}}, "object": {"type": "File", "attributes": {}}, "entity_bindings": {"a": "$x"}}, "prerequisites": {"operator": "AND", "predicates": [{"type": "stage_path", "target_node": "$y"}]}}
+    assert sigma.check_graph_rule(broken) == ["what is spawned is a process", "fields of processes at a subject that is none: CommandLine", "unbound variable '$y'"]
+    run = sigma.to_runtime({**got, "match_logic": {"relation": "READ", "subject": {"attributes": {"a": "*mid*", "b": "x*y"}}, "object": {"attributes": {"c": "*.exe", "d|contains": ["p", "q"]}}}}, "R1")
+    items = {i["field"]: (i["modifiers"], i["value"]) for s in run["match_logic"]["selectors"].values() for i in s["items"]}
+    assert items["a"] == (["contains"], {"type": "literal", "value": "mid"}) and items["c"][0] == ["endswith"] and items["b"][0] == ["regex"] and items["b"][1]["value"] == "^x.*y$"
+    assert items["d"][0] == ["contains"] and items["cdr.semantic_relations{}.relation"][1]["value"] == "read"
+    assert build(run, as_json=True).prerequisite_ast["operator"] == "AND"
+    good, bad = sigma.translated([rule, {"id": "z", "detection": {"s": {"x": "a"}, "condition": "s"}}])
+    assert len(good) == 1 and "too broad" in bad["z"]
+    assert sigma.bundle(good)["rules"][0]["rule_id"] == "SIGMA_000001"
+    assert sigma.report([RULE, RULE])["problems"]["x1"] == ["several rules have this id"] and sigma.stage_of("Defense Evasion") == 4 and sigma.stage_of("?") == 1
