@@ -13,8 +13,13 @@ def session(name: str = "lineagram") -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the cluster's shared folder; a folder of its own only where none is set."""
+    """Cuts lineage with a checkpoint in the cluster's shared folder; a folder of its own only on one machine, and where none is set."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineagram-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="lineagram-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()

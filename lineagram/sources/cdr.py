@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineagram.functions.scalars import BYTE_FIELDS, canonical_relation, entity, extract_bytes, first_text, normalize_text, parse_ts, truthy
+from lineagram.session import cut
 from lineagram.sources.logs import as_of
 
 # Field names, calls and event types that inputs use.
@@ -234,9 +235,11 @@ def darpa_definitions(payload: DataFrame) -> DataFrame:
 
 
 def darpa(records: DataFrame) -> DataFrame:
-    """The common model's columns for DARPA records (value, seq, r)."""
-    payload = darpa_payload(records)
-    defined = darpa_definitions(payload)
+    """The common model's columns for DARPA records (value, seq, r).
+
+    Payloads and definitions are written down once: events read them, and so does each kind of definition."""
+    payload = cut(darpa_payload(records))
+    defined = cut(darpa_definitions(payload))
     subject_text = get("subject")
     subject_uuid = F.when(~F.startswith(subject_text, F.lit("{")), subject_text).otherwise(F.coalesce(*_inner(("uuid", "subjectUuid", "cid"), "subject")))
     subject_uuid = F.coalesce(subject_uuid, field("subject_uuid", "subjectUuid", "subjectId"))
@@ -312,5 +315,6 @@ def to_events(lines: DataFrame) -> DataFrame:
     """The common model of JSON lines (value, seq): one parse and one projection a dialect; DARPA adds as-of joins."""
     records = parsed(lines.where(F.startswith(F.trim("value"), F.lit("{")) & F.expr("try_parse_json(value) is not null"))).withColumn("d", dialect())
     found = [_finish(records.where(F.col("d") == name), make(), name) for name, make in ADAPTERS.items()]
-    found.append(darpa(records.where("d = 'darpa'").drop("d")))
+    if not lines.isStreaming:  # a stream's batches come here one by one
+        found.append(darpa(records.where("d = 'darpa'").drop("d")))
     return reduce(DataFrame.unionByName, found)

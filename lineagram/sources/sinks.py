@@ -97,7 +97,7 @@ def artifact(folder: str, scenario: str, scenario_parts: tuple[DataFrame, DataFr
     sizes = [p.limit(MOST_ELEMENTS + 1).count() for p in (*scenario_parts, *provenance_parts)]
     if max(sizes) > MOST_ELEMENTS:
         raise ValueError(f"{scenario}: over {MOST_ELEMENTS} elements")
-    packed = lambda parts: parts[0].agg(F.sort_array(F.collect_list("data")).alias("nodes")).crossJoin(parts[1].agg(F.sort_array(F.collect_list("data")).alias("edges"))).select(F.struct("nodes", "edges").alias("g"))
+    packed = lambda parts: parts[0].agg(F.sort_array(F.collect_list(F.struct("data"))).alias("nodes")).crossJoin(parts[1].agg(F.sort_array(F.collect_list(F.struct("data"))).alias("edges"))).select(F.struct("nodes", "edges").alias("g"))
     row = packed(scenario_parts).withColumnRenamed("g", "hsg").crossJoin(packed(provenance_parts).withColumnRenamed("g", "provenance"))  # one row each
     row.select(F.lit(scenario).alias("scenario_id"), "hsg", "provenance").coalesce(1).write.mode("overwrite").json(f"{folder}/{scenario}")
 
