@@ -198,8 +198,7 @@ def bind(found, rules: list[Rule], lookup: Callable[[str], Column | None] | None
     a raw field must have been seen before or in the event: first_seen has (host, entity, first_seq)."""
     from lineagram.functions.scalars import entity_type
 
-    names = set(found.columns)
-    lookup = lookup or (lambda f: F.array_compact(F.array(F.col(f).cast("string"))) if f in names else None)
+    lookup = lookup or column_lookup(found.columns)
     s, o = entity_type(F.col("subject")), entity_type(F.col("object"))
     symbols = F.array().cast("array<struct<symbol:string,entity:string,raw:boolean>>")
     for r in rules:
@@ -224,12 +223,38 @@ def bind(found, rules: list[Rule], lookup: Callable[[str], Column | None] | None
     return kept, dropped
 
 
+def column_lookup(columns: list[str]) -> Callable[[str], Column | None]:
+    """Fields are columns, by their name, or by one that differs in case alone."""
+    exact, low = set(columns), {c.lower(): c for c in reversed(columns)}
+
+    def lookup(name: str) -> Column | None:
+        at = name if name in exact else low.get(name.lower())
+        return None if at is None else F.array_compact(F.array(F.col(at).cast("string")))
+
+    return lookup
+
+
+def raw_lookup(column: str = "raw") -> Callable[[str], Column]:
+    """Fields are paths into a column of JSON text: ``a.b``, ``a{}.b`` for all entries of an array; a top-level name may differ in case."""
+    from lineagram.functions.scalars import field_values, strings_of
+
+    def lookup(name: str) -> Column:
+        found = field_values(F.col(column), name)
+        if "." in name or "{" in name:
+            return found
+        fields = F.from_json(column, "map<string,string>")
+        alike = F.map_values(F.map_filter(fields, lambda k, v: F.lower(k) == name.lower()))
+        return F.when(F.size(found) > 0, found).otherwise(strings_of(F.try_element_at(alike, F.lit(1))))
+
+    return lookup
+
+
 def matches(events, rules: list[Rule], lookup: Callable[[str], Column | None] | None = None):
     """(event columns, rule_id, rule_order): one scan for all rules, a row for each match."""
     from lineagram.functions.scalars import entity_type
 
     names = set(events.columns)
-    lookup = lookup or (lambda f: F.array_compact(F.array(F.col(f).cast("string"))) if f in names else None)
+    lookup = lookup or column_lookup(events.columns)
     tests = [
         F.when(predicate(r, lookup, F.col("op"), entity_type(F.col("subject")), entity_type(F.col("object")), F.col("source_tokens") if "source_tokens" in names else None), F.struct(F.lit(i).alias("rule_order"), F.lit(r.rule_id).alias("rule_id")))
         for i, r in enumerate(check(rules))

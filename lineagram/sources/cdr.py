@@ -11,6 +11,7 @@ missing, empty or of another type counts as absent.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,7 +83,8 @@ def dialect() -> Column:
     darpa = logsource("dataset").isin("darpa_tc", "darpa_tc_e3", "darpa") | F.contains(F.lower("value"), F.lit("com.bbn.tc.schema.avro")) | has("hostId", "subject_uuid", "predicateObjectUuid", "datum")
     auditd = (logsource("product") == "linux") | (logsource("service") == "auditd") | has("syscall", "exe", "comm", "auditd")
     etw = (logsource("product") == "windows") | logsource("service").isin("sysmon", "etw") | has("Image", "ParentImage", "TargetFilename", "DestinationIp", "SourceProcessGuid")
-    return F.when(_no(darpa), "darpa").when(_no(auditd), "auditd").when(_no(etw), "etw").otherwise("generic")
+    own = reduce(lambda acc, kv: acc.when(_no(kv[1]()), kv[0]), ADDED.items(), F.when(F.lit(False), F.lit("")))
+    return own.when(_no(darpa), "darpa").when(_no(auditd), "auditd").when(_no(etw), "etw").otherwise("generic")
 
 
 def process(guids: tuple[str, ...], pids: tuple[str, ...], ts: tuple[str, ...] = TS) -> Column:
@@ -307,8 +309,20 @@ def source_tokens() -> Column:
     return F.array_distinct(F.array_compact(F.array(*top, said("product"), said("category"), said("service"), *both)))
 
 
-#: Adapters by name; others may be added: name -> (test of a parsed record, records -> common model).
+#: Adapters by name, and tests of those that were added, which come first.
 ADAPTERS = {"auditd": _auditd, "etw": _etw, "generic": _generic}
+ADDED: dict[str, Callable[[], Column]] = {}
+
+
+def register(name: str, test: Callable[[], Column], make: Callable[[], dict[str, Column]]) -> None:
+    """Adds a dialect: test() says whether a parsed record (see get, field, has) is its; make() gives at least subject, object, relations and event_type."""
+    if name in ADAPTERS:
+        raise ValueError(f"there is an adapter {name!r}")
+    ADAPTERS[name], ADDED[name] = make, test
+
+
+def unregister(name: str) -> None:
+    ADAPTERS.pop(name), ADDED.pop(name)
 
 
 def to_events(lines: DataFrame) -> DataFrame:

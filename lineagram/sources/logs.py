@@ -21,6 +21,23 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
 
 
+def record_count(lines: DataFrame) -> int:
+    return lines.count()
+
+
+def strict(lines: DataFrame, schema: str) -> DataFrame:
+    """Records parsed by a schema; the first one that is broken ends the job."""
+    return lines.select("*", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+
+
+def parse_counts(lines: DataFrame) -> DataFrame:
+    """(lines, objects, broken, blank): how many lines there are, and what becomes of them."""
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    good = F.expr("try_parse_json(value) is not null") & F.startswith(F.trim("value"), F.lit("{"))
+    blank = F.trim("value") == ""
+    return lines.agg(F.count("*").alias("lines"), n(good).alias("objects"), n(~good & ~blank).alias("broken"), n(blank).alias("blank"))
+
+
 def follow_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
     """The same as a stream of files that arrive in a folder."""
     return spark.readStream.format("text").option("pathGlobFilter", pattern).load(folder).where(F.trim("value") != "")

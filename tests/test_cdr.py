@@ -112,3 +112,30 @@ def test_ip6_nets_equal_the_library(spark):
         except ValueError:
             want = "subnet=invalid"
         assert r.s == want, (r.a, r.s, want)
+
+
+def test_adapters_can_be_added(spark):
+    cdr.register("mine", lambda: cdr.has("my_kind"), lambda: {"subject": cdr.field("who"), "object": cdr.field("what"), "relations": cdr.relations(cdr.relation("write", fn.F.col("subject"), fn.F.col("object"))), "event_type": cdr.field("my_kind")})
+    try:
+        got = events(spark, [{"my_kind": "k", "who": "proc:a", "what": "file:b", "syscall": "read"}, {"syscall": "openat", "path": "x"}])
+        assert (got[1].dialect, said(got[1]), got[1].event_type) == ("mine", [("write", "proc:a", "file:b")], "k") and got[2].dialect == "auditd"
+    finally:
+        cdr.unregister("mine")
+
+
+def test_raw_lookup_and_counts(spark):
+    from lineagram.operators import rules
+    from lineagram.sources import logs
+
+    lines = [{"Image": "C:\\a.exe", "cdr": {"semantic_relations": [{"relation": "write"}, {"relation": "read"}]}}, {"image": "b"}]
+    df = spark.createDataFrame([Row(seq=i, host="h", subject="proc:a", op="x", object="file:b", raw=json.dumps(x)) for i, x in enumerate(lines)])
+    item = lambda f, v, *m: {"type": "field_match", "field": f, "modifiers": list(m), "value": v}
+    made = [rules.Rule(n, match_logic={"selectors": {"s": {"type": "object", "items": [i]}}, "condition": {"type": "selector_ref", "selector": "s"}}) for n, i in (("path", item("cdr.semantic_relations{}.relation", "read")), ("case", item("IMAGE", "a.exe", "endswith")), ("exact", item("image", "b")))]
+    assert {(r.seq, r.rule_id) for r in rules.matches(df, made, rules.raw_lookup()).collect()} == {(0, "path"), (0, "case"), (1, "exact")}
+    raw = spark.createDataFrame([("{}",), ("",), ("{x",), ("[1]",)], "value string")
+    assert tuple(logs.parse_counts(raw).first()) == (4, 1, 2, 1) and logs.record_count(raw) == 4
+    assert logs.strict(raw.limit(1), "a int").count() == 1
+    import pytest
+
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        logs.strict(raw.where("value = '{x'"), "a int").collect()
