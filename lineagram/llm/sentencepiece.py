@@ -8,14 +8,16 @@ merging the two tokens' joined characters gives back just these two.  Ids are
 recovered by walking the table backwards.  Work is linear in a segment's length
 whatever that is, so one very long word costs no more a byte than short ones.
 
-No piece has a space mark behind another character, and none holds a character
-that is no piece itself (both are asserted when the model is loaded), so text is
-cut before runs of space marks and at line ends, and each distinct short segment
-is encoded once per worker (a bounded memo).
+No piece has a space mark behind another character, none holds a line end beside
+another character, and none holds a character that is no piece itself (all asserted
+when the model is loaded), so text is cut before runs of space marks and at line
+ends, and each distinct short segment is encoded about once per worker (a memo of two
+bounded generations).
 
 Text is never normalised but for the leading space mark, as the model says.
-Null text counts as empty; empty text has no ids.  Extra columns pass through; a
-column of the name of an added one is replaced.
+Null text counts as empty; empty text has no ids.  Repeated rows and ids get a row
+each, and rows have no order.  An empty table gives an empty result.  Extra columns
+pass through; a column of the name of an added one is replaced.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from pyspark.sql import types as T
 from lineagram.llm.common import buffers, pieces
 
 MARK = "▁"
-#: Entries of the segment memo and of the pair memo; they are emptied when full.
-MEMO, PAIRS = 150_000, 300_000
+#: Entries of a generation of the segment memo and of the pair memo; a full generation becomes the old one, whose entries come back when they are met.
+MEMO, PAIRS = 250_000, 500_000
 SEGMENT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
@@ -60,7 +62,7 @@ class Codec:
         self.id_of = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (1, 4)}
         self.score = {p.piece: p.score for p in model.pieces if p.type in (1, 4)}
         for piece in self.id_of:
-            if MARK in piece.lstrip(MARK) or (len(piece) > 1 and any(c not in self.id_of for c in piece)):
+            if MARK in piece.lstrip(MARK) or (len(piece) > 1 and ("\n" in piece or any(c not in self.id_of for c in piece))):
                 raise ValueError(f"segments can't be cut for a model with the piece {piece!r}")
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.unk = next(i for i, k in enumerate(kinds) if k == 2)
@@ -85,7 +87,9 @@ class Codec:
                     self.left[piece] += self.left[a]
         self.found.make_automaton()
         self.pairs: dict[int, bool] = {}
+        self.old_pairs: dict[int, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.old_memo: dict[str, tuple[int, ...]] = {}
 
     def _merge(self, s: str, least: int = 1) -> list[str]:
         """The pieces of a short string by the definition: again and again the best adjacent pair, the leftmost of equals, down to ``least`` parts."""
@@ -127,24 +131,35 @@ class Codec:
                 end_y, j = made_y, j + 1
 
     def _compatible(self, left: int, right: int) -> bool:
+        """The same as a test of two tokens, for pairs that aren't in the memo."""
         key = left << 32 | right
-        known = self.pairs.get(key)
+        known = self.old_pairs.get(key)
         if known is None:
             a, b = self.text[left], self.text[right]
             known = not self.merges_across(a, b) if self.ordered and a[-1] != MARK else self._merge(a + b) == [a, b]  # runs of marks all have one score
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = known
+        if len(self.pairs) >= PAIRS:
+            self.old_pairs, self.pairs = self.pairs, {}
+        self.pairs[key] = known
         return known
 
     def segment(self, s: str) -> tuple[int, ...]:
         last: list[tuple[int, int] | None] = [None] * len(s)
-        compatible = self._compatible
+        known, test = self.pairs.get, self._compatible
         for end, token in self.found.iter(s):
             if last[end] is None:
                 before = end - token[1]
-                if before < 0 or (left := last[before]) is None or compatible(left[0], token[0]):
+                if before < 0:
                     last[end] = token
+                    continue
+                left = last[before]
+                if left is not None:
+                    fits = known(left[0] << 32 | token[0])
+                    if fits is None:
+                        fits = test(left[0], token[0])
+                        known = self.pairs.get  # a generation may have ended
+                    if not fits:
+                        continue
+                last[end] = token
         out, i = [], len(s) - 1
         while i >= 0:
             token = last[i]
@@ -155,26 +170,30 @@ class Codec:
             else:
                 out.append(token[0])
                 i -= token[1]
-        return tuple(reversed(out))
+        out.reverse()
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        memo, out = self.memo, []
+        out: list[int] = []
+        known = self.memo.get
         for s in SEGMENT.findall(MARK + text.replace(" ", MARK)):
-            got = memo.get(s)
+            got = known(s)
             if got is None:
-                got = self.segment(s)
+                got = self.old_memo.get(s)
+                if got is None:
+                    got = self.segment(s)
                 if len(s) <= 48:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[s] = got
+                    if len(self.memo) >= MEMO:
+                        self.old_memo, self.memo = self.memo, {}
+                        known = self.memo.get
+                    self.memo[s] = got
             out += got
         return out
 
     def decode(self, ids: list[int]) -> str:
-        raw = self.raw
-        joined = b"".join([raw[i] for i in ids])
+        joined = b"".join(map(self.raw.__getitem__, ids))
         if ids and self.text[ids[0]].startswith(MARK):
             joined = joined[1:]
         return joined.decode("utf-8", "replace")

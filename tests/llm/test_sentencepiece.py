@@ -57,3 +57,19 @@ def test_rows(spark, tmp_path, library):
 
 def test_empty_table(spark):
     assert sp.encode_decode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_small_memos_and_odd_tables(spark, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sp, "MEMO", 5)
+    monkeypatch.setattr(sp, "PAIRS", 7)
+    codec, library = sp.Codec(sp._model_bytes(spark, None)), sentencepiece.SentencePieceProcessor(model_file=sp.default_model())
+    text = "The quick brown fox jumps, unbelievably, over internationalisation and 12345 dogs; straße naïve 東京 the quick brown fox. " * 3
+    for _ in range(3):
+        assert codec.encode(text) == library.encode(text)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert sp.encode_decode(empty).count() == 0
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
+    got = sp.encode_decode(twice).collect()
+    assert len(got) == 3 and [list(r.ids) for r in got if r.text] == [library.encode("a b")] * 2 and [list(r.ids) for r in got if not r.text] == [[]]
