@@ -12,13 +12,15 @@ input, not on what is left.
 Both lookups are exchanges of packed hashes by chunk (see exchange.py): a block
 or run is one entry for each chunk that holds it, with a mark if the chunk holds
 it twice.  A passage that a third of all documents share costs one entry a chunk.
-Blocks are compared by 46 bits of their hash, runs by 63: among n runs near
-anchors the expected number of false pairs is n * n / 2 ** 64.
+Blocks are compared by 46 bits of their hash, which only says where to look; runs by
+127 bits of two hashes: among n runs near anchors the expected number of false
+pairs is n * n / 2 ** 128, which is nothing at any size.
 
 Null and empty texts have no words, and texts shorter than the window are never
-touched.  Repeated rows count as documents of their own, so they remove each
-other.  An empty table gives an empty result.  Extra columns pass through; a
-column of the name of an added one is replaced.
+touched.  A null doc_id is as good as any: rows are told apart by their place.
+Repeated rows count as documents of their own, so they remove each other.  Ties can't
+be: all occurrences go.  An empty table gives an empty result.  Extra columns pass
+through; a column of the name of an added one is replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineagram.llm import exchange as x
-from lineagram.llm.common import buffers, pieces, rolling, word_hashes, word_spans
+from lineagram.llm.common import buffers, mix, pieces, rolling, word_hashes, word_spans
 
 WINDOW = 35
 #: Bits of a block's hash that travel, above two marks.
@@ -64,6 +66,24 @@ class _Words:
         return at, h[at]
 
 
+    def seconds(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Second hashes, of other powers and other words' hashes, of the runs of k words from each place on."""
+        return rolling(mix(self.hashes ^ _OTHER), k)[at] if len(at) else np.zeros(0, np.uint64)
+
+
+_OTHER = np.uint64(0xA0761D6478BD642F)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the first of each distinct pair in order, whether each occurs twice, each pair's place among the distinct)."""
+    order = np.lexsort((b, a))
+    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]) if len(a) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[first], np.diff(np.append(first, len(a))) > 1, place
+
+
 def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys in order, whether each occurs twice, each key's place among the distinct)."""
     distinct, place, n = np.unique(keys, return_inverse=True, return_counts=True)
@@ -119,14 +139,15 @@ def _anchors(parts: int):
     return combine
 
 
-def _runs(parts: int):
-    def combine(part: int, bodies: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-        got = [_values(b, _EIGHT) for _, b in bodies]
-        one = np.uint64(1)
-        found = _again([v >> one for v in got], [(v & one) != 0 for v in got])
-        return [(c, _planes(v[f], _EIGHT)) for (c, _), v, f in zip(bodies, got, found, strict=True) if f.any()]
-
-    return combine
+def _runs(part: int, bodies: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """Which runs occur in another chunk too or twice in one, of each chunk's own."""
+    one = np.uint64(1)
+    got = [(_values(b[: len(b) // 2], _EIGHT), _values(b[len(b) // 2 :], _EIGHT)) for _, b in bodies]
+    marked, second = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+    _, often, place = _distinct(marked >> one, second)
+    often[place[(marked & one) != 0]] = True
+    found = np.split(often[place], np.cumsum([len(g[0]) for g in got])[:-1])
+    return [(c, _planes(h[f], _EIGHT) + _planes(h2[f], _EIGHT)) for (c, _), (h, h2), f in zip(bodies, got, found, strict=True) if f.any()]
 
 
 def repeats(docs: DataFrame, columns: list[str], added: list[T.StructField], use, window: int = WINDOW, text_col: str = "text") -> DataFrame:
@@ -149,20 +170,34 @@ def repeats(docs: DataFrame, columns: list[str], added: list[T.StructField], use
         np.add.at(near, np.maximum(at + block - window, 0), 1)
         np.subtract.at(near, at + 1, 1)
         starts, h = words.windows(window)
-        h = h[np.cumsum(near[:-1])[starts] > 0] if len(starts) else h
-        keys, twice, _ = _unique(h >> np.uint64(1))
-        sent = keys << np.uint64(1) | twice.astype(np.uint64)
-        return x.asks(table[x.CHUNK][0].as_py(), _split(sent, parts, _EIGHT))
+        close = np.cumsum(near[:-1])[starts] > 0 if len(starts) else np.zeros(0, bool)
+        first, second = h[close] >> np.uint64(1), words.seconds(window, starts[close])
+        own, twice, _ = _distinct(first, second)
+        sent, second = first[own] << np.uint64(1) | twice.astype(np.uint64), second[own]
+        edges = x.cuts(sent, parts)
+        bodies = [(p, _planes(sent[a:b], _EIGHT) + _planes(second[a:b], _EIGHT)) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+        return x.asks(table[x.CHUNK][0].as_py(), bodies)
 
     def mark(table: pa.Table, bodies: list[tuple[int, bytes]]) -> pa.Table:
         words = _Words(table)
         starts, h = words.windows(window)
         covered = np.zeros(len(words.hashes) + 1, np.int32)
         if bodies:
-            known = np.concatenate([_values(b, _EIGHT) for _, b in bodies]) >> np.uint64(1)
-            h = h >> np.uint64(1)
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            starts = starts[known[at] == h]
+            known, check = (np.concatenate([_values(b[len(b) // 2 * i : len(b) // 2 * (i + 1)], _EIGHT) for _, b in bodies]) for i in (0, 1))
+            known, h = known >> np.uint64(1), h >> np.uint64(1)
+            at = np.searchsorted(known, h)
+            left = np.flatnonzero(at < len(known))
+            left = left[known[at[left]] == h[left]]
+            second, hit = words.seconds(window, starts[left]), np.zeros(len(h), bool)
+            todo, at = np.arange(len(left)), at[left]
+            while len(todo):  # runs whose first hashes are equal stand one after another
+                same = check[at[todo]] == second[todo]
+                hit[left[todo[same]]] = True
+                todo = todo[~same]
+                at[todo] += 1
+                todo = todo[at[todo] < len(known)]
+                todo = todo[known[at[todo]] == h[left[todo]]]
+            starts = starts[hit]
             np.add.at(covered, starts, 1)
             np.subtract.at(covered, starts + window, 1)
         return use(table, words, np.cumsum(covered[:-1]) > 0)
@@ -170,7 +205,7 @@ def repeats(docs: DataFrame, columns: list[str], added: list[T.StructField], use
     anchored = x.reply(x.ask(dealt, probe), _anchors(parts))
     asked = x.finish(dealt, anchored, extend, x.ASK)
     schema = T.StructType([*docs.select(*columns).schema.fields, *added])
-    return x.finish(dealt, x.reply(asked, _runs(parts)), mark, schema)
+    return x.finish(dealt, x.reply(asked, _runs), mark, schema)
 
 
 def remove(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:

@@ -47,3 +47,19 @@ def test_equals_brute_force(spark, tmp_path):
 
 def test_empty_table(spark):
     assert a.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_equal_first_hashes_are_told_apart():
+    h, h2 = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 3], np.uint64)
+    first, twice, place = a._distinct(h, h2)
+    assert list(zip(h[first], h2[first])) == [(5, 1), (5, 2), (9, 3)] and list(twice) == [True, False, False] and list(place) == [0, 1, 0, 2]
+    pack = lambda h, c: b"".join(a._planes(np.array(v, np.uint64), a._EIGHT) for v in (h, c))
+    got = dict(a._runs(0, [(1, pack([10, 20], [7, 8])), (2, pack([10, 20, 31], [7, 9, 4]))]))
+    assert got == {1: pack([10], [7]), 2: pack([10, 31], [7, 4])}  # 20 has another second hash; 31 is marked as found twice
+
+
+def test_null_and_repeated_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(None, "x " + passage), (None, "y " + passage), (3, "z"), (3, "only here")]
+    got = a.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got) == [(1, 0), (2, 0), (41, 40), (41, 40)]
