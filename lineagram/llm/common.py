@@ -23,11 +23,13 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share."""
+    """A fresh path in the folder that driver and executors share; a folder of our own only on one machine, and where none is named."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="lineagram-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/tables/{uuid.uuid4().hex}"

@@ -51,7 +51,7 @@ TILE = 131_072
 HELD = 1 << 16
 SEED = 42
 #: Of near_dedup: words of a shingle, similarity, nodes of a tile, ratio of size classes.
-WIDTH, SIMILAR, SIDE, RATIO = 5, 0.8, 16_384, 1.25
+WIDTH, SIMILAR, SIDE, RATIO = 5, 0.8, 8_192, 1.25
 #: Shingles that are judged at once.
 LOT = 1 << 20
 _RAW = "__utf8"

@@ -52,3 +52,26 @@ def test_stages(spark, tmp_path):
     for r in seen["tokens"][:20]:
         assert list(r.ids) == library.encode(after[r.doc_id]) and r.decoded == library.decode(list(r.ids))
     assert p.run(spark, str(tmp_path)).count() == len(seen["tokens"])
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    clean = [text(rng, 120) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(clean[:30])]
+    rows += [(None, clean[30]), (None, clean[31]), (None, clean[30]), (5, clean[32]), (5, clean[33]), (7, clean[5]), (None, clean[6])]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t, lang=None if k % 2 else "en", source=None, n_chars=len(t), extra=k % 3, __keep="clash") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, extra int, __keep string")
+    kept = docs
+    for name, stage in p.STAGES[:3]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+        kept.write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([*((i, t) for i, t in rows[:30]), (None, clean[30]), (None, clean[31]), (5, clean[32]), (5, clean[33])])
+    mixed = p.mixing_stage(spark, kept, str(tmp_path))
+    assert mixed.columns == docs.columns and mixed.count() > 0
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
