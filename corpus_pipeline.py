@@ -4,11 +4,20 @@ Each stage takes (spark, docs, sf_dir) and works on all rows it is given; all bu
 the last return the columns of ``documents``.
 
 quality     documents the quality rules reject go
-near_dedup  of documents that near-duplicate links connect, the smallest doc_id stays
+near_dedup  of documents that near-duplicate links connect (five-word shingles, a
+            similarity of 0.8 or more), the smallest doc_id stays
 substrings  words in runs of 35 that are found again anywhere go; a text that loses
             none is left as it is, others are their words joined by one space
 mixing      documents are repeated or left out so that sources come near their targets
 tokens      every text gets its ids, and the text decoded from these
+
+Null and empty texts have no words: the quality rules reject them.  A null doc_id
+counts as the largest, and rows of a null or a repeated doc_id stay or go by their
+texts: a row goes only if its text is a copy or near copy of one that stays.  Of
+equal doc_ids and words, one row stays; ties between texts go by their digest.  A
+null lang is a language of its own and a null source the last source.  Very long texts
+are worked on whole.  An empty table goes through all stages.  Columns besides those of
+``documents`` pass through to the last stage, whatever their names.
 """
 
 from __future__ import annotations
