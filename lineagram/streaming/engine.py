@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lineagram.operators import graph, hsg, noise, state
 from lineagram.operators.rules import Rule, matches, rule_table
+from lineagram.sources import cdr, logs
 
 
 @dataclass
@@ -94,6 +95,13 @@ class Engine:
         if self.options.gc_every and batch % self.options.gc_every == 0:
             self.collect_garbage()
 
+    def process_lines(self, lines: DataFrame, batch: int, keywords: tuple[list[str], list[str]] | None = None) -> None:
+        """Works off a batch of raw lines (value, seq) of any dialect; keywords: benign markers and threat words of the prefilter."""
+        kept = lines if keywords is None else logs.prefilter(lines, *keywords)
+        host = F.coalesce(*[F.nullif(F.get_json_object("raw", f"$.{n}"), F.lit("")) for n in ("host", "hostname", "hostId")], F.lit(""))
+        events = cdr.to_events(kept).withColumns({"host": host, "op": F.coalesce(F.get_json_object("raw", "$.op"), F.col("event_type"))})
+        self.process(events.where("subject is not null and object is not null"), batch)
+
     def rate(self) -> float:
         """Events a second over the last ``rate_seconds``."""
         now = time.time()
@@ -176,9 +184,10 @@ class Engine:
         n = lambda name: F.lit(0 if (t := self.table(name)) is None else t.count()).cast("long").alias(name)
         return self.spark.range(1).select(*[n(x) for x in ("events", "matches", "dropped", "alerts")])
 
-    def run(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-        """Works off a stream; by default what has arrived, then it ends.  A rerun goes on from the checkpoint."""
-        query = stream.writeStream.foreachBatch(lambda df, batch: self.process(df, batch)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    def run(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None, raw: bool = False) -> StreamingQuery:
+        """Works off a stream of events, or of raw lines; by default what has arrived, then it ends.  A rerun goes on from the checkpoint."""
+        step = self.process_lines if raw else self.process
+        query = stream.writeStream.foreachBatch(lambda df, batch: step(df, batch)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
         if trigger is None:
             query.awaitTermination()
         return query

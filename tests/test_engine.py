@@ -88,3 +88,14 @@ def test_sinks(spark, tmp_path):
     assert [r.seq for r in sinks.sample(raw, 2, "2024-01-02", "2024-01-04").collect()] == [2, 3]
     with pytest.raises(Exception, match="kafka"):
         follow.kafka(spark, "x:1", "t")
+
+
+def test_raw_lines_of_two_dialects(spark, tmp_path):
+    lines = [
+        {"host": "h", "op": "write", "subject": "proc:a", "object": "file:/tmp/x", "ts": "2024-01-01T00:00:00Z"},
+        {"hostname": "g", "syscall": "connect", "pid": 3, "addr": "10.0.3.1", "ts": "2024-01-01T00:00:01Z"},
+        {"host": "h", "op": "write", "subject": "proc:chrome", "object": "file:/tmp/benign", "ts": "2024-01-01T00:00:02Z"},
+    ]
+    e = engine.Engine(spark, str(tmp_path / "state"), DEMO_RULES, engine.Options(gc_every=0))
+    e.process_lines(follow.from_rows(spark, [json.dumps(x) for x in lines]), 0, (["benign"], ["evil"]))
+    assert {(r.host, r.rule_id, r.subject) for r in e.table("matches").collect()} == {("h", "tmp_write", "proc:a"), ("g", "odd_subnet", "proc_pid:3@2024-01-01T00:00:01Z")}

@@ -232,3 +232,13 @@ def test_capacities(spark):
     act = spark.createDataFrame([("h", 9, "proc:c", "file:z")], "host string, node long, subject string, object string")
     reach = spark.createDataFrame([("h", "file:x", "proc:c"), ("h", "proc:c", "file:y")], "host string, src string, dst string")
     assert [r.node for r in hsg.activated(pend, act, reach).collect()] == [1]
+
+
+def test_cheap_candidates(spark):
+    met = links.candidates(some_matches(spark, 2)[1], RULES, most=50)
+    none = spark.createDataFrame([], "host string, src string, dst string")
+    alike = {(r.left.first, r.right.first) for r in links.cheap_candidates(met, none).collect()}
+    assert alike == {(r.left.first, r.right.first) for r in met.collect() if {x.split(":")[0] for x in (r.left.subject, r.left.object)} & {x.split(":")[0] for x in (r.right.subject, r.right.object)}}
+    one = spark.createDataFrame([Row(host="h", left=Row(subject="proc:a", object="file:x"), right=Row(subject="ip:1", object="reg:k"))])
+    assert links.cheap_candidates(one, none).count() == 0
+    assert links.cheap_candidates(one, spark.createDataFrame([("h", "file:x", "reg:k")], "host string, src string, dst string")).count() == 1

@@ -107,3 +107,12 @@ def test_graph_rules():
     assert len(good) == 1 and "too broad" in bad["z"]
     assert sigma.bundle(good)["rules"][0]["rule_id"] == "SIGMA_000001"
     assert sigma.report([RULE, RULE])["problems"]["x1"] == ["several rules have this id"] and sigma.stage_of("Defense Evasion") == 4 and sigma.stage_of("?") == 1
+
+
+def test_synthetic_stream_and_best_alerts(spark):
+    a = e.synthetic_events(spark, 2000, 50, 3)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, e.synthetic_events(spark, 2000, 50, 3).repartition(5).collect()))
+    attacks = a.where("op != 'read'").count()
+    assert 10 < attacks < 100 and e.synthetic_events(spark, 2000, 50, 4).exceptAll(a).count() > 0
+    alerts = spark.createDataFrame([("a", "s", 5.0, ["x"]), ("b", "s", 5.0, ["x", "y"]), ("c", "s", 4.0, []), ("d", "", 1.0, []), ("f", None, 1.0, [])], "alert_id string, scenario_id string, score double, stages array<string>")
+    assert sorted(r.alert_id for r in e.best_by_scenario(alerts).collect()) == ["b", "d", "f"]
