@@ -88,6 +88,15 @@ def nodes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return whole.select(F.col("ids")[0].alias("node"), "key", "ids", "vec", "unit")
 
 
+def told_apart(points: DataFrame) -> DataFrame:
+    """nodes() with names of their own: where an id has several vectors, the vectors' hashes stand for it."""
+    several = points.groupBy("node").count().where(F.col("count") > 1).select("node", F.lit(True).alias("several"))
+    if several.isEmpty():
+        return points
+    name = F.when(F.col("several"), F.xxhash64("key")).otherwise(F.col("node"))
+    return written(points.join(several, "node", "left").withColumn("node", name).select(*points.columns))
+
+
 def _top(pairs: DataFrame, k: int) -> DataFrame:
     """Each v's k rows with the largest sim; a partition's surplus goes before the shuffle."""
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))).where(F.col("place") <= k).drop("place")
@@ -288,7 +297,7 @@ def _search_rows(q: pa.Array, a: pa.Array, found: list[tuple[np.ndarray, np.ndar
 
 def nearest(vectors: DataFrame, queries: F.Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row where queries is true, the row itself left out."""
-    points = written(nodes(vectors, id_col, vec_col, k + 1))
+    points = told_apart(written(nodes(vectors, id_col, vec_col, k + 1)))
     asked = written(nodes_of(vectors.where(queries), points, id_col, vec_col))
     found = search(points, graph(points), asked.select(F.col("node").alias("q")).distinct())
     # k + 1 nodes show k rows besides the query's own

@@ -20,8 +20,9 @@ spared the word comparison, since other languages' words say nothing about them.
 All sums are of integers, so reruns agree whatever the partitioning.
 
 Null text has no words; null lang is a language of its own.  Documents that fail
-the base rules don't shape the references.  An empty table gives an empty
-result.  Extra columns pass through; a column named like an added one is replaced.
+the base rules don't shape the references.  Repeated rows count each, in references
+too, and get equal verdicts; ties between references don't matter, since only the
+smallest distance counts.  An empty table gives an empty result.  Extra columns pass through; a column named like an added one is replaced.
 """
 
 from __future__ import annotations

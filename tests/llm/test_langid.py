@@ -49,3 +49,26 @@ def test_one_text_in_most_rows_and_other_scripts(spark, monkeypatch):
     model = g.fit(docs)
     got = g.predict(spark.createDataFrame([Row(text="ⴰⵎⴰⵣⵉⵖ ⵜⴰⵎⴰⵣⵉⵖⵜ ⴰⵎⴰⵣⵉⵖ"), Row(text="ka lo mi"), Row(text="ka lo mi")]), model).collect()
     assert [r.lang_pred for r in got] == ["zz", "aa", "aa"] and got[1] == got[2]
+
+
+def test_prediction_equals_its_definition(spark):
+    """Mean logits of hashed subwords, by slicing each text."""
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([Row(text=text(rng, lang, 30), lang=lang) for lang in SYLLABLES for _ in range(40)])
+    model = g.fit(docs)
+    texts = [text(rng, "aa", 5), "Ka lo-mi 7 scho", "ció ña", "x", text(rng, "bb", 300)] * 2
+    got = [(r.lang_pred, r.score) for r in g.predict(spark.createDataFrame([Row(text=t) for t in texts]).coalesce(1), model).collect()]
+    for t, (lang, score) in zip(texts, got):
+        raw = g._letters(np.frombuffer(t.encode(), np.uint8)).tobytes()
+        logits, n = np.zeros(len(model.langs)), 0
+        for k in range(1, g.LONGEST + 1):
+            for i in range(len(raw) - k + 1):
+                gram = raw[i : i + k]
+                if b" " in gram[1:-1] or not gram.strip():
+                    continue
+                h = (int.from_bytes(gram, "little") + k * 0x9E3779B97F4A7C15) * 0xFF51AFD7ED558CCD % (1 << 64) >> 49
+                logits += model.logits[h]
+                n += 1
+        z = (logits / max(n, 1) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert lang == model.langs[int(p.argmax())] and abs(score - p.max()) < 1e-6

@@ -69,3 +69,59 @@ def test_rare_languages_are_not_judged_by_others(spark):
     assert [r.doc_id for r in got if r.base_failed] == []
     assert sum(r.kept for r in got if r.lang == "mid") >= 28 and all(r.kept for r in got if r.lang == "few")
     assert all(r.word_distance > 0.2 + 2 / r.n_words**0.5 for r in got if r.lang == "few")  # over the limit by the others
+
+
+def js(p, q_):
+    m = (p + q_) / 2
+    part = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m) if x > 0)
+    return np.sqrt(max((part(p) + part(q_)) / 2, 0))
+
+
+def test_distances_and_verdicts_equal_brute_force(spark):
+    """References, distances and verdicts from their definitions, word by word."""
+    rng = np.random.default_rng(9)
+    rules = q.Rules(min_lang=500)
+    langs = {"en": lambda n: sentence(rng, n), "xx": lambda n: " ".join("%s%d" % (rng.choice(["żó", "la", "Mi"]), rng.integers(9)) for _ in range(n))}
+    rows = [(i, langs["en" if i % 3 else "xx"](int(rng.integers(10, 200))), "en" if i % 3 else "xx") for i in range(90)]
+    rows += [(200, rows[1][1].upper() + "!!", "en"), (201, "##".join(rows[2][1].split()), "en"), (202, rows[0][1], "en"), (203, rows[1][1], "zz"), (204, None, "en"), (1, rows[1][1], "en")]
+    got = q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), rules).collect()
+
+    def kinds(t):
+        out = np.zeros(len(q.CLASSES))
+        for c in t or "":
+            size = len(c.encode())
+            at = {2: 7, 3: 8, 4: 9}.get(size)
+            if at is None:
+                at = 0 if c in " \t\n\x0b\x0c\r" else 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 if "0" <= c <= "9" else 4 if c in ".,;:?'\"()-" else 5 if 33 <= ord(c) < 127 else 6
+            out[at] += 1
+        return out
+
+    low = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    chars, words = {}, {}
+    for _, t, lang in rows:
+        w, _, _, _, repeated = brute(t)
+        if w < 20 or 100 * repeated > 30 * w:
+            continue
+        k = kinds(t)
+        chars[lang] = chars.get(lang, 0) + k * q.PARTS // k.sum()
+        for x in low(t):
+            words.setdefault(lang, {})[x] = words.get(lang, {}).get(x, 0) + 1
+    refs = {a: (chars[a] / chars[a].sum(), {x: n / sum(words[a].values()) for x, n in words[a].items() if n / sum(words[a].values()) >= rules.common}) for a in words if sum(words[a].values()) >= rules.min_lang}
+    assert sorted(refs) == ["en", "xx"]
+    seen = set()
+    for r in got:
+        t = r.text
+        w, _, _, _, repeated = brute(t)
+        k = kinds(t)
+        own = k / max(k.sum(), 1)
+        by_char = min(js(own, c) for c, _ in refs.values())
+        by_word = 1.0
+        for _, common in refs.values():
+            mine = np.array([low(t).count(x) / max(w, 1) for x in common])
+            by_word = min(by_word, js(np.append(mine, max(1 - mine.sum(), 0)), np.append(list(common.values()), max(0.0, 1 - sum(common.values())))))
+        assert abs(r.char_distance - by_char) < 1e-9 and abs(r.word_distance - by_word) < 1e-9, t
+        failed = w < 20 or 100 * repeated > 30 * w
+        kept = not failed and (by_char <= rules.max_char or k.sum() < rules.min_chars) and (by_word <= rules.max_word + rules.slack / np.sqrt(max(w, 1)) or w < rules.min_words or r.lang not in refs)
+        assert (r.base_failed, r.kept) == (failed, kept)
+        seen.add(kept)
+    assert seen == {True, False} and len(got) == len(rows)
