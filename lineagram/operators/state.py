@@ -22,16 +22,28 @@ def with_relations(events: DataFrame) -> DataFrame:
     return events if "relations" in events.columns else events.withColumn("relations", generic_relations(F.lower("op"), F.col("subject"), F.col("object")))
 
 
-def taint(events: DataFrame, seeds: DataFrame) -> DataFrame:
+def _passes(events: DataFrame) -> DataFrame:
+    """(host, seq, at, src, dst): what passes taint on, in the order of events and of their relations."""
+    said = with_relations(events).select("host", "seq", F.posexplode("relations").alias("at", "r"))
+    back, ahead = F.col("r.relation").isin(*REVERSE), F.col("r.relation").isin(*FORWARD)
+    return said.where(back | ahead).select("host", "seq", "at", F.when(back, F.col("r.dst")).otherwise(F.col("r.src")).alias("src"), F.when(back, F.col("r.src")).otherwise(F.col("r.dst")).alias("dst"))
+
+
+#: The place of a seed among an event's relations: after all of them.
+_LAST = (1 << 31) - 1
+
+
+def taint(events: DataFrame, seeds: DataFrame, rounds: bool = False) -> DataFrame:
     """(host, entity, tainted_seq): when taint from a seed first reached an entity.
 
     seeds: host, seq, entity.  An entity is tainted after its seed's event.  Relations pass taint on, thirteen kinds of
     them, some from source to destination and some back, in the order in which the event names them.  A host's
-    relations stream through in order and only the set of tainted entities is held."""
-    said = with_relations(events).select("host", "seq", F.posexplode("relations").alias("at", "r"))
-    back, ahead = F.col("r.relation").isin(*REVERSE), F.col("r.relation").isin(*FORWARD)
-    moved = said.where(back | ahead).select("host", "seq", "at", F.when(back, F.col("r.dst")).otherwise(F.col("r.src")).alias("src"), F.when(back, F.col("r.src")).otherwise(F.col("r.dst")).alias("dst"))
-    given = seeds.select("host", "seq", F.lit((1 << 31) - 1).alias("at"), F.lit(None).cast("string").alias("src"), F.col("entity").alias("dst"))
+    relations stream through in order and only the set of tainted entities is held.  Where one host has a large part of
+    all events, rounds spreads the work by entity: joins of what is newly tainted with later relations, until nothing is."""
+    moved = _passes(events)
+    if rounds:
+        return _taint_rounds(moved, seeds)
+    given = seeds.select("host", "seq", F.lit(_LAST).alias("at"), F.lit(None).cast("string").alias("src"), F.col("entity").alias("dst"))
     rows = moved.union(given).repartition("host").sortWithinPartitions("host", "seq", "at", "dst")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,6 +61,22 @@ def taint(events: DataFrame, seeds: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "host string, entity string, tainted_seq long")
 
 
+def _taint_rounds(moved: DataFrame, seeds_: DataFrame) -> DataFrame:
+    from lineagram.session import cut
+
+    moved = cut(moved)
+    key = F.min(F.struct(F.col("seq").cast("long").alias("seq"), F.col("at").cast("int").alias("at"))).alias("k")
+    known = cut(seeds_.withColumn("at", F.lit(_LAST)).groupBy("host", "entity").agg(key))
+    new = known
+    while True:
+        onward = new.join(moved.withColumnRenamed("src", "entity"), ["host", "entity"]).where(F.struct(F.col("seq").cast("long"), F.col("at").cast("int")) > F.struct("k.seq", "k.at"))
+        onward = onward.select("host", F.col("dst").alias("entity"), "seq", "at").groupBy("host", "entity").agg(key)
+        new = cut(onward.join(known.withColumnRenamed("k", "was"), ["host", "entity"], "left").where("was is null or k < was").select("host", "entity", "k"))
+        if new.isEmpty():
+            return known.select("host", "entity", F.col("k.seq").alias("tainted_seq"))
+        known = cut(known.union(new).groupBy("host", "entity").agg(F.min("k").alias("k")))
+
+
 def seeds(matches: DataFrame, rules: list) -> DataFrame:
     """(host, seq, entity): what matches of a first compromise bind; only a rule's own symbols, if it has any.
 

@@ -11,6 +11,7 @@ from lineagram.bridge import PROV_SQL, prov_events
 from lineagram.functions import scalars as fn
 from lineagram.operators import graph, hsg, links, noise, paths, state, windows
 from lineagram.operators.rules import DEMO_RULES, MATCH_SQL, matches, rule_table
+from lineagram.session import cut
 from lineagram.sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +44,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(prov_events(spark, sf_dir), DEMO_RULES)
-    return hsg.with_ids(found.join(F.broadcast(rule_table(spark, DEMO_RULES)), "rule_id"))
+    return hsg.with_ids(found.join(F.broadcast(rule_table(spark, DEMO_RULES)), "rule_id"))  # at most rules.MOST_RULES rows
 
 
 # ---- events and scalars
@@ -197,7 +198,7 @@ def byte_percentiles(spark, sf_dir):
 
 @query(f"{SIGNED_SQL} select s.seq, s.rule_id from signed s left join model using (rule_id, signature) left join vol using (rule_id) where (n >= 3 and n >= 0.05 * total) or coalesce(s.bytes <= p95, false)")
 def benign_drop(spark, sf_dir):
-    m = _matches(spark, sf_dir)
+    m = cut(_matches(spark, sf_dir))  # matched once, read by both models and the filter
     return noise.benign(m, noise.signatures(m), noise.volumes(m), 3, 0.05).select("seq", "rule_id")
 
 
@@ -225,7 +226,7 @@ def dynamic_limits(spark, sf_dir):
     select seq, rule_id, cast(coalesce(bytes > 0 and so_far <= coalesce(pl, rl), false) as boolean) as dropped from s"""
 )
 def dynamic_threshold_filter(spark, sf_dir):
-    m = _matches(spark, sf_dir)
+    m = cut(_matches(spark, sf_dir))
     return noise.dynamic_filter(m, noise.dynamic_thresholds(m.where("seq % 2 = 0"))).select("seq", "rule_id", "dropped")
 
 
@@ -362,7 +363,7 @@ def shared_entity_edges(spark, sf_dir):
 
 
 def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _matches(spark, sf_dir)
+    found = cut(_matches(spark, sf_dir))
     return hsg.scenarios(found, links.star_links(found, DEMO_RULES))
 
 

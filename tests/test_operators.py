@@ -107,6 +107,7 @@ def test_taint_equals_replay(spark):
     # a seed counts from its own event on, whichever host that event is on
     late = {s.host: s.seq for s in seeds}
     assert {g for g in got if g[2] not in late.values()} == {w for w in want if w[2] not in late.values()} and len(got) > 4
+    assert {tuple(r) for r in state.taint(spark.createDataFrame(rows), spark.createDataFrame(seeds), rounds=True).collect()} == got
 
 
 def logic(selectors, condition):
