@@ -13,8 +13,8 @@ Both lookups are exchanges of packed hashes by chunk (see exchange.py): a block
 or run is one entry for each chunk that holds it, with a mark if the chunk holds
 it twice.  A passage that a third of all documents share costs one entry a chunk.
 Blocks are compared by 46 bits of their hash, which only says where to look; runs by
-127 bits of two hashes: among n runs near anchors the expected number of false
-pairs is n * n / 2 ** 128, which is nothing at any size.
+95 bits of two hashes: among n runs near anchors the expected number of false
+pairs is n * n / 2 ** 96, one in a hundred thousand for 10 ** 12 of them.
 
 Null and empty texts have no words, and texts shorter than the window are never
 touched.  A null doc_id is as good as any: rows are told apart by their place.
@@ -67,8 +67,8 @@ class _Words:
 
 
     def seconds(self, k: int, at: np.ndarray) -> np.ndarray:
-        """Second hashes, of other powers and other words' hashes, of the runs of k words from each place on."""
-        return rolling(mix(self.hashes ^ _OTHER), k)[at] if len(at) else np.zeros(0, np.uint64)
+        """Second hashes, from other hashes of the words, of the runs of k words from each place on."""
+        return (rolling(mix(self.hashes ^ _OTHER), k)[at] >> np.uint64(32)).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
 
 
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -139,15 +139,25 @@ def _anchors(parts: int):
     return combine
 
 
+def _body(first: np.ndarray, second: np.ndarray) -> bytes:
+    """Both hashes of some runs, 12 bytes each."""
+    return _planes(first, _EIGHT) + x.planes32(second)
+
+
+def _hashes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at = len(body) // 12 * 8
+    return _values(body[:at], _EIGHT), x.from_planes32(body[at:])
+
+
 def _runs(part: int, bodies: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     """Which runs occur in another chunk too or twice in one, of each chunk's own."""
     one = np.uint64(1)
-    got = [(_values(b[: len(b) // 2], _EIGHT), _values(b[len(b) // 2 :], _EIGHT)) for _, b in bodies]
+    got = [_hashes(b) for _, b in bodies]
     marked, second = (np.concatenate([g[i] for g in got]) for i in (0, 1))
     _, often, place = _distinct(marked >> one, second)
     often[place[(marked & one) != 0]] = True
     found = np.split(often[place], np.cumsum([len(g[0]) for g in got])[:-1])
-    return [(c, _planes(h[f], _EIGHT) + _planes(h2[f], _EIGHT)) for (c, _), (h, h2), f in zip(bodies, got, found, strict=True) if f.any()]
+    return [(c, _body(h[f], h2[f])) for (c, _), (h, h2), f in zip(bodies, got, found, strict=True) if f.any()]
 
 
 def repeats(docs: DataFrame, columns: list[str], added: list[T.StructField], use, window: int = WINDOW, text_col: str = "text") -> DataFrame:
@@ -175,7 +185,7 @@ def repeats(docs: DataFrame, columns: list[str], added: list[T.StructField], use
         own, twice, _ = _distinct(first, second)
         sent, second = first[own] << np.uint64(1) | twice.astype(np.uint64), second[own]
         edges = x.cuts(sent, parts)
-        bodies = [(p, _planes(sent[a:b], _EIGHT) + _planes(second[a:b], _EIGHT)) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+        bodies = [(p, _body(sent[a:b], second[a:b])) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
         return x.asks(table[x.CHUNK][0].as_py(), bodies)
 
     def mark(table: pa.Table, bodies: list[tuple[int, bytes]]) -> pa.Table:
@@ -183,7 +193,7 @@ def repeats(docs: DataFrame, columns: list[str], added: list[T.StructField], use
         starts, h = words.windows(window)
         covered = np.zeros(len(words.hashes) + 1, np.int32)
         if bodies:
-            known, check = (np.concatenate([_values(b[len(b) // 2 * i : len(b) // 2 * (i + 1)], _EIGHT) for _, b in bodies]) for i in (0, 1))
+            known, check = (np.concatenate(v) for v in zip(*(_hashes(b) for _, b in bodies), strict=True))
             known, h = known >> np.uint64(1), h >> np.uint64(1)
             at = np.searchsorted(known, h)
             left = np.flatnonzero(at < len(known))

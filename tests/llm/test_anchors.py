@@ -50,10 +50,10 @@ def test_empty_table(spark):
 
 
 def test_equal_first_hashes_are_told_apart():
-    h, h2 = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 3], np.uint64)
+    h, h2 = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 3], np.uint32)
     first, twice, place = a._distinct(h, h2)
     assert list(zip(h[first], h2[first])) == [(5, 1), (5, 2), (9, 3)] and list(twice) == [True, False, False] and list(place) == [0, 1, 0, 2]
-    pack = lambda h, c: b"".join(a._planes(np.array(v, np.uint64), a._EIGHT) for v in (h, c))
+    pack = lambda h, c: a._body(np.array(h, np.uint64), np.array(c, np.uint32))
     got = dict(a._runs(0, [(1, pack([10, 20], [7, 8])), (2, pack([10, 20, 31], [7, 9, 4]))]))
     assert got == {1: pack([10], [7]), 2: pack([10, 31], [7, 4])}  # 20 has another second hash; 31 is marked as found twice
 
