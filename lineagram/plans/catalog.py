@@ -490,17 +490,35 @@ def rolling_rates(spark, sf_dir):
     return windows.rates(prov_events(spark, sf_dir))
 
 
-# ---- paths (no SQL: the search depends on order; tests compare with brute force)
+# ---- paths
 
 
-@query()
+#: Path factors of the pairs (host, x, y) of a table ``pair``, over REACH_SQL.
+FACTOR_SQL = """
+  , newest as (select host, dst, entity, max(version) as v from up group by all)
+  , shared as (select p.host, p.x, p.y, a.entity, least(a.v, b.v) as v from pair p join newest a on a.host = p.host and a.dst = p.x join newest b on b.host = p.host and b.dst = p.y and b.entity = a.entity)
+  , above as (select distinct host, entity as f, v as fv, entity, v as version from shared union select u.host, u.f, u.fv, e.src, e.src_version from above u join edge e on e.host = u.host and e.dst = u.entity and e.dst_version = u.version)
+  , high as (select host, f, fv, entity, max(version) as v from above group by all)
+  , lower as (select distinct c.host, c.x, c.y, c.entity from shared c join shared d on d.host = c.host and d.x = c.x and d.y = c.y and d.entity <> c.entity
+      join high h on h.host = d.host and h.f = d.entity and h.fv = d.v and h.entity = c.entity and h.v >= c.v)
+  , tally as (select host, x, y, count(*) as n from (select host, x, y, entity from shared except select host, x, y, entity from lower) group by all)
+  , factor as (select p.host, p.x, p.y, cast(case when r.v is not null then n end as bigint) as path_factor, coalesce(case when r.v is not null then 1.0 / n end, 0.0)::double as strength
+      from pair p left join tally t on t.host = p.host and t.x = p.x and t.y = p.y left join newest r on r.host = p.host and r.dst = p.y and r.entity = p.x)"""
+
+
+@query(f"{WITH_PROV} {REACH_SQL}, pair as (select distinct host, subject as x, object as y from prov where op = 'write') {FACTOR_SQL} select * from factor")
 def path_factor(spark, sf_dir):
     events = prov_events(spark, sf_dir)
     written = events.where("op = 'write'").select("host", F.col("subject").alias("x"), F.col("object").alias("y")).distinct()
     return paths.path_factors(events, written)
 
 
-@query()
+@query(
+    f"""{WITH_PROV} {EDGE_SQL}, node as (select host, entity, before as version from stepped union select host, entity, after from stepped)
+    , walk as (select n.host, n.entity as source, n.entity, n.version, 0 as hops from node n where exists (select 1 from prov p where p.host = n.host and p.object = n.entity and p.op = 'connect')
+        union select w.host, w.source, e.dst, e.dst_version, w.hops + (e.kind = 'DATA_FLOW' and e.src <> e.dst)::int from walk w join edge e on e.host = w.host and e.src = w.entity and e.src_version = w.version where w.hops < 64)
+    select host, source, entity, cast(min(hops) as int) as hops from walk group by all"""
+)
 def shortest_hops(spark, sf_dir):
     events = prov_events(spark, sf_dir)
     return paths.distances(events, events.where("op = 'connect'").select("host", F.col("object").alias("entity")).distinct())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lineagram.bridge import prov_events
 from lineagram.operators import evaluate, graph, hsg, links, noise, online, paths, sigma, state
 from lineagram.operators.rules import DEMO_RULES, Rule, bind, matches
-from lineagram.plans.catalog import EDGE_SQL, LINK_SQL, VERSION_SQL, WITH_MATCH, WITH_PROV, _by_host, _matches, query
+from lineagram.plans.catalog import EDGE_SQL, FACTOR_SQL, LINK_SQL, REACH_SQL, VERSION_SQL, WITH_MATCH, WITH_PROV, _by_host, _matches, query
 from lineagram.sources import cdr, sinks
 
 #: Relations of the bridged events.
@@ -183,7 +183,14 @@ def candidate_topn(spark, sf_dir):
     return got.select("host", F.col("left.first").alias("left_node"), F.col("right.first").alias("right_node"), "common", "place")
 
 
-@query()
+@query(
+    f"""{WITH_MATCH} {REACH_SQL}, c as (select host, rule_id, subject, object, min(seq * 8192 + rule_order) as first, count(*) as n from matched group by all)
+    , near as (select a.host, a.first as src_node, b.first as dst_node, a.rule_id as src_rule, b.rule_id as dst_rule, a.object as x, b.object as y, a.n * b.n as links from c a join c b on a.host = b.host and a.first <> b.first
+        and (a.rule_id = 'run_key' or b.rule_id = 'run_key') and (a.subject in (b.subject, b.object) or a.object in (b.subject, b.object)))
+    , pair as (select distinct host, x, y from near) {FACTOR_SQL}
+    select n.host, cast(src_node as bigint) as src_node, cast(dst_node as bigint) as dst_node, src_rule, dst_rule, 'graph_path' as relation, cast(path_factor as double) as path_factor, 1.0::double / path_factor as weight, cast(links as bigint) as links
+    from near n join factor f on f.host = n.host and f.x = n.x and f.y = n.y where path_factor <= 3"""
+)
 def graph_path_edges(spark, sf_dir):
     return links.graph_path_edges(prov_events(spark, sf_dir), _matches(spark, sf_dir), DEMO_RULES)
 
