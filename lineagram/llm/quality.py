@@ -58,6 +58,8 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 #: Histograms are carried as parts of so many.
 PARTS = 1_000_000
 WINDOW = 8
+#: Bytes of text whose histograms are made at once.
+STEP = 1 << 20
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _RAW, _LANG = "__utf8", "__lang"
 
@@ -140,7 +142,7 @@ class Block:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Block]]:
     for whole in batches:
         data, offsets = buffers(whole.column(whole.schema.get_field_index(_RAW)))
-        for lo, hi in pieces(offsets):
+        for lo, hi in pieces(offsets, STEP):
             yield whole.slice(lo, hi - lo), Block(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
