@@ -208,14 +208,18 @@ def dynamic_threshold_train(spark, sf_dir):
 
 
 LIMIT_SQL = f"""{WITH_MATCH}, good as (select * from matched where bytes > 0)
-  , learnt as (select rule_id, subject, object, cast(count(*) as bigint) as samples, cast(sum(bytes) as bigint) as largest from good where seq % 2 = 0 group by all
-      union all select rule_id, null, null, count(*), cast(sum(bytes) as bigint) from good where seq % 2 = 0 group by 1)
+  , learnt as (select rule_id, subject, object, cast(count(*) as bigint) as samples, cast(sum(bytes) as bigint) as largest from good where ts < timestamp '2024-01-16' group by all
+      union all select rule_id, null, null, count(*), cast(sum(bytes) as bigint) from good where ts < timestamp '2024-01-16' group by 1)
   , limits as (select *, cast(largest + greatest(1, ceil(largest * 0.25)) as bigint) as threshold from learnt)"""
 
 
+#: Limits are learnt from what is before this time, and hold for all.
+LEARNT = "ts < timestamp '2024-01-16'"
+
+
 @query(f"{LIMIT_SQL} select rule_id, subject, object, samples, largest, threshold from limits")
 def dynamic_limits(spark, sf_dir):
-    return noise.dynamic_thresholds(_matches(spark, sf_dir).where("seq % 2 = 0"))
+    return noise.dynamic_thresholds(_matches(spark, sf_dir).where(LEARNT))
 
 
 @query(
@@ -227,7 +231,7 @@ def dynamic_limits(spark, sf_dir):
 )
 def dynamic_threshold_filter(spark, sf_dir):
     m = cut(_matches(spark, sf_dir))
-    return noise.dynamic_filter(m, noise.dynamic_thresholds(m.where("seq % 2 = 0"))).select("seq", "rule_id", "dropped")
+    return noise.dynamic_filter(m, noise.dynamic_thresholds(m.where(LEARNT))).select("seq", "rule_id", "dropped")
 
 
 # ---- versioned graph
@@ -383,12 +387,12 @@ def scenario_legacy(spark, sf_dir):
 
 
 @query(
-    f"""{LEGACY_SQL}, two as (select cast(scenario as varchar) as scenario, severity_sum as score, nodes, edges from score where nodes > 60 order by score desc, nodes desc, edges desc, 1 limit 60)
+    f"""{LEGACY_SQL}, two as (select cast(scenario as varchar) as scenario, severity_sum as score, nodes, edges from score order by score desc, nodes desc, edges desc, 1 limit 60)
     , filled as (select *, 0 as f from two union all select null, 0.0, 0, 0, 1 from range(60))
     select cast(row_number() over (order by f, score desc, nodes desc, edges desc, scenario) as int) as place, scenario, score, nodes, edges from filled qualify place <= 60"""
 )
 def top_scenarios_filled(spark, sf_dir):
-    scores = hsg.legacy_scores(_scenarios(spark, sf_dir), DEMO_RULES).withColumn("scenario", F.col("scenario").cast("string")).where("nodes > 60")
+    scores = hsg.legacy_scores(_scenarios(spark, sf_dir), DEMO_RULES).withColumn("scenario", F.col("scenario").cast("string"))
     return hsg.top(scores, "weighted", 60)
 
 

@@ -56,16 +56,15 @@ def benign_events_dropped(spark, sf_dir):
 
 
 @query(
-    f"""{WITH_MATCH}, first as (select host, entity, min(seq) as first_seq from (select host, subject as entity, seq from prov union all select host, object, seq from prov) group by all)
-    select m.seq, m.rule_id, m.subject as process, m.object as target from matched m where m.rule_id = 'tmp_write'
-    union all select m.seq, m.rule_id, m.subject, null from matched m where m.rule_id in ('run_key', 'fork')"""
+    f"""{WITH_MATCH} select seq, rule_id, subject as process, case when rule_id in ('tmp_write', 'odd_subnet', 'two_of_three') then object end as target from matched
+    where rule_id not in ('tmp_write', 'odd_subnet', 'two_of_three') or starts_with(object, 'file:')"""
 )
 def bound_symbols(spark, sf_dir):
     target = {"symbol": "$target_file", "entity_type": "file"}
     rules = [Rule(r.rule_id, entity_bindings=({"symbol": "$current_process", "entity_type": "process"}, *((target,) if r.rule_id in ("tmp_write", "odd_subnet", "two_of_three") else ()))) for r in DEMO_RULES]
     events = prov_events(spark, sf_dir)
     first = events.select("host", "seq", F.explode(F.array("subject", "object")).alias("entity")).groupBy("host", "entity").agg(F.min("seq").alias("first_seq"))
-    kept, _ = bind(matches(events, DEMO_RULES).where("rule_id != 'two_of_three'"), rules, first_seen=first)
+    kept, _ = bind(matches(events, DEMO_RULES), rules, first_seen=first)
     return kept.select("seq", "rule_id", F.col("bindings")["$current_process"].alias("process"), F.col("bindings")["$target_file"].alias("target"))
 
 
@@ -122,12 +121,12 @@ def entity_ancestors(spark, sf_dir):
     f"""{WITH_PROV} {START_SQL} {RELATION_SQL}, way as (select s.host, s.subject as src, a.after as src_version, s.object as dst, b.after as dst_version from said s join stepped a on a.host = s.host and a.seq = s.seq and a.entity = s.subject
         join stepped b on b.host = s.host and b.seq = s.seq and b.entity = s.object where s.relation in ('spawn', 'write') union select host, src, src_version, dst, dst_version from edge where kind = 'VERSION_TRANSITION')
     , begin as (select host, subject as entity, 1 as version from prov group by all)
-    , down as (select host, entity as start, entity, version from begin where entity < 'proc:u12' union select d.host, d.start, w.dst, w.dst_version from down d join way w on w.host = d.host and w.src = d.entity and w.src_version = d.version)
+    , down as (select host, entity as start, entity, version from begin union select d.host, d.start, w.dst, w.dst_version from down d join way w on w.host = d.host and w.src = d.entity and w.src_version = d.version)
     select distinct host, start, entity from down"""
 )
 def spawn_write_paths(spark, sf_dir):
     events = prov_events(spark, sf_dir)
-    starts = events.where("subject < 'proc:u12'").select("host", F.col("subject").alias("start"), F.col("subject").alias("entity"), F.lit(1).alias("version")).distinct()
+    starts = events.select("host", F.col("subject").alias("start"), F.col("subject").alias("entity"), F.lit(1).alias("version")).distinct()
     return paths.semantic_reach(graph.semantic_edges(state.with_relations(events)), graph.edges(events), starts, ["spawned_by", "ACTS_ON"]).select("host", "start", "entity").distinct()
 
 
@@ -214,15 +213,14 @@ def prerequisite_tree(spark, sf_dir):
 
 
 INDEX_SQL = f"""{WITH_MATCH} {EDGE_SQL}
-  , seed as (select m.host, t.entity, t.after as version, 'm' || m.seq || '-' || m.rule_id as match_id, m.rule_id, t.entity || '#v' || t.after as origin, 0 as hops, m.seq from matched m join stepped t on t.host = m.host and t.seq = m.seq and t.entity in (m.subject, m.object) where m.rule_id = 'run_key')
-  , spread as (select * from seed union select s.host, e.dst, e.dst_version, s.match_id, s.rule_id, s.origin, s.hops + (e.kind = 'DATA_FLOW')::int, s.seq from spread s join edge e on e.host = s.host and e.src = s.entity and e.src_version = s.version where s.hops + (e.kind = 'DATA_FLOW')::int <= 2)"""
+  , seed as (select m.host, t.entity, t.after as version, 'm' || m.seq || '-' || m.rule_id as match_id, m.rule_id, t.entity || '#v' || t.after as origin, 0 as hops, m.seq from matched m join stepped t on t.host = m.host and t.seq = m.seq and t.entity in (m.subject, m.object))
+  , spread as (select * from seed union select s.host, e.dst, e.dst_version, s.match_id, s.rule_id, s.origin, s.hops + (e.kind = 'DATA_FLOW')::int, s.seq from spread s join edge e on e.host = s.host and e.src = s.entity and e.src_version = s.version where s.hops + (e.kind = 'DATA_FLOW')::int <= 5)"""
 
 
 def _index(spark, sf_dir):
     events = prov_events(spark, sf_dir)
     found = _matches(spark, sf_dir)
-    rows = online.seeds(found.where("rule_id = 'run_key'"), graph.versions(events))
-    return events, found, online.extend(None, graph.edges(events), new_rows=rows, depth=2)
+    return events, found, online.extend(None, graph.edges(events), new_rows=online.seeds(found, graph.versions(events)))
 
 
 @query(f"{INDEX_SQL} select host, entity, cast(version as int) as version, rule_id, cast(count(distinct match_id) as bigint) as matches, cast(min(hops) as int) as hops, min(seq) as seq from spread group by all")
@@ -232,7 +230,7 @@ def online_lookups(spark, sf_dir):
 
 @query(
     f"""{INDEX_SQL}, own as (select m.seq, m.rule_id, m.host, t.entity, t.after as version from matched m join stepped t on t.host = m.host and t.seq = m.seq and t.entity in (m.subject, m.object) where m.rule_id = 'odd_subnet')
-    select m.seq, m.rule_id, (m.rule_id <> 'odd_subnet' or exists (select 1 from own o join spread s on s.host = o.host and s.entity = o.entity and s.version = o.version and s.seq < o.seq where o.seq = m.seq)) as passes from matched m"""
+    select m.seq, m.rule_id, (m.rule_id <> 'odd_subnet' or exists (select 1 from own o join spread s on s.host = o.host and s.entity = o.entity and s.version = o.version and s.seq < o.seq and s.rule_id = 'run_key' where o.seq = m.seq)) as passes from matched m"""
 )
 def online_gate(spark, sf_dir):
     events, found, index = _index(spark, sf_dir)
