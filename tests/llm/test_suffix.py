@@ -63,3 +63,27 @@ def test_suffix_classes():
 
 def test_empty_table(spark):
     assert s.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_that_are_no_numbers(spark):
+    text = "".join(chr(97 + i * 7 % 26) for i in range(80))
+    rows = [("x", text), ("7", text), (None, text + "!"), ("y", "short")]
+    got = {(r.doc_id, r.n_removed) for r in s.remove(spark.createDataFrame(rows, "doc_id string, text string").repartition(2)).collect()}
+    assert got == {("x", 80), ("7", 0), (None, 80), ("y", 0)}  # what is no number counts as the largest, and as one document
+
+
+def test_shards_of_a_slice_are_merged(monkeypatch):
+    """Windows' smallest owners are the same however many suffix arrays there are."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 100, 400).astype(np.uint8)
+    parts = [base[a : a + 50 + int(rng.integers(0, 40))] for a in rng.integers(0, 250, 120)]
+    sizes, owners = np.array([len(p) - 49 for p in parts]), rng.integers(0, 1000, len(parts))
+    least = {}
+    for p, o in zip(parts, owners):
+        for i in range(len(p) - 49):
+            w = p[i : i + 50].tobytes()
+            least[w] = min(least.get(w, 1 << 60), int(o))
+    want = [least[p[i : i + 50].tobytes()] for p in parts for i in range(len(p) - 49)]
+    for shard in (1 << 19, 900, 60):
+        monkeypatch.setattr(s, "SHARD", shard)
+        assert s.first_owners(np.concatenate(parts), sizes, owners, 50).tolist() == want
