@@ -79,7 +79,7 @@ def _no_cut(df):
     raise AssertionError("rows were written down")
 
 
-@pytest.mark.parametrize("name", ["online_gate", "online_lookups", "version_descendants"])
+@pytest.mark.parametrize("name", ["online_gate", "online_lookups", "version_descendants", "spawn_write_paths"])
 def test_hosts_are_not_searched_by_rounds(spark, monkeypatch, name):
     monkeypatch.setattr(session, "cut", _no_cut)
     assert catalog.CATALOG[name](spark, SF).count()
