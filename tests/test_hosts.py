@@ -5,7 +5,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lineagram import session
-from lineagram.operators import graph, hosts, hsg, online, paths, state
+from lineagram.operators import graph, hosts, hsg, links, online, paths, state
+from lineagram.operators.rules import Rule
 from lineagram.plans import catalog, extended  # noqa: F401
 from tests.test_operators import events
 
@@ -83,3 +84,12 @@ def _no_cut(df):
 def test_hosts_are_not_searched_by_rounds(spark, monkeypatch, name):
     monkeypatch.setattr(session, "cut", _no_cut)
     assert catalog.CATALOG[name](spark, SF).count()
+
+
+def test_existence_lists_no_candidates(spark, monkeypatch):
+    monkeypatch.setattr(links, "_symbol_table", lambda *a: pytest.fail("a host's candidates were listed for each match"))
+    ev = spark.createDataFrame([Row(host="h", seq=1, subject="proc:a", op="connect", object="ip:1"), Row(host="g", seq=2, subject="proc:b", op="write", object="file:x")])
+    m = spark.createDataFrame([Row(host=h, node=i, seq=3, rule_id="r", bindings={"subject": "proc:a"}) for i, h in enumerate("hg")])
+    tree = {"operator": "AND", "conditions": [{"type": "event_existence", "target_node": "External_IP_Node"}]}
+    got = links.evaluate(m, [Rule("r", prerequisite_ast=tree)], ev)
+    assert {r.host: r.satisfied for r in got.collect()} == {"h": True, "g": False}
