@@ -242,3 +242,10 @@ def test_cheap_candidates(spark):
     one = spark.createDataFrame([Row(host="h", left=Row(subject="proc:a", object="file:x"), right=Row(subject="ip:1", object="reg:k"))])
     assert links.cheap_candidates(one, none).count() == 0
     assert links.cheap_candidates(one, spark.createDataFrame([("h", "file:x", "reg:k")], "host string, src string, dst string")).count() == 1
+
+
+def test_ranked_equals_candidates(spark):
+    df = some_matches(spark, 2)[1]
+    for most in (1, 3, 50):
+        want = links.candidates(df, RULES, most=most).select("host", "left.first", F.col("right.first"), "common", "place").collect()
+        assert sorted(map(tuple, links.ranked(df, RULES, most=most).collect())) == sorted(map(tuple, want)) and want
