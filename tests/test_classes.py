@@ -67,7 +67,7 @@ def _no_cut(df):
     raise AssertionError("rows were written down")
 
 
-@pytest.mark.parametrize("name", ["graph_path_edges"])
+@pytest.mark.parametrize("name", ["graph_path_edges", "scenario_graph"])
 def test_pairs_are_not_shuffled(spark, monkeypatch, name):
     monkeypatch.setattr(session, "cut", _no_cut)
     assert catalog.CATALOG[name](spark, SF).count()
@@ -78,3 +78,17 @@ def test_no_cap_on_candidates(spark, tmp_path):
     raw = spark.range(300).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") * 50).alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
     raw.write.parquet(str(tmp_path / "events.parquet"))
     assert catalog.CATALOG["graph_path_edges"](spark, str(tmp_path)).count() == 300 * 299
+
+
+@pytest.mark.parametrize("seed", [4])
+def test_scored_equals_build(spark, monkeypatch, seed):
+    monkeypatch.setattr(classes, "BLOCK", 50)
+    rng = random.Random(seed)
+    rows = [Row(host=f"h{i % 3}", seq=i, subject=f"proc:{rng.randrange(25)}", op=rng.choice(["read", "write", "fork"]), object=rng.choice(["proc", "file", "reg"]) + f":{rng.randrange(25)}") for i in range(150)]
+    ev = spark.createDataFrame(rows)
+    m = found(spark, rows, seed).where("seq % 3 > 0").localCheckpoint()
+    kept, edges = hsg.build(ev, m, RULES, 3)
+    want = sorted(map(tuple, hsg.legacy_scores(kept, RULES, edges).collect()))
+    got = sorted(map(tuple, hsg.scored(ev, m, RULES, 3).collect()))
+    assert [r[:6] for r in got] == [r[:6] for r in want] and np.allclose([r[6:] for r in got], [r[6:] for r in want], atol=2e-6)
+    assert any(r[1] > 1 for r in got) and any(r[1] == 1 for r in got) and any(r[7] > 1 for r in got)
